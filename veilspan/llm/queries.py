@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import chat, exact_dedup, mixing, quality, secrets
+from veilspan.llm import bpe, chat, exact_dedup, mixing, near_dup, quality, secrets
 from veilspan.llm.common import table
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.token_digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan_digests(secrets.scan(docs, secrets.train_scanner(docs)))
@@ -36,7 +46,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_secret_scan, op6_exact_dedup, op7_mixing, op9_chat_format, op10_quality)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op4_secret_scan, op6_exact_dedup, op7_mixing, op9_chat_format, op10_quality)
 }
 
 #: White space of the contracts as a class of DuckDB's regular expressions.
