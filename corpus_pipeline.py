@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import exact_dedup, mixing, quality
+from veilspan.llm import bpe, exact_dedup, mixing, near_dup, quality
 from veilspan.llm.common import Scratch, table
 
 
@@ -18,12 +19,29 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.keep_first(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by shingles of five words at a similarity of 0.8 stays."""
+    return near_dup.keep_one(docs, width=5, num=80, den=100)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality", reject_low_quality), ("exact_dedup", drop_exact_copies), ("mixing", mix_sources)]
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document of the mix, encoded and decoded again."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.token_digests(bpe.decode(bpe.encode(docs, path), path))
+
+
+STAGES = [
+    ("quality", reject_low_quality),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("tokens", tokenize),
+]
 
 #: Trained scores, component search, sampling and merges aren't SQL.
 ORACLE_SQL = None
