@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import bpe, chat, exact_dedup, mixing, near_dup, quality, secrets, suffix_dedup
+from veilspan.llm import bpe, chat, chunk_dedup, exact_dedup, mixing, near_dup, quality, secrets, suffix_dedup
 from veilspan.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.chunk_digests(chunk_dedup.dedup_chunks(table(spark, sf_dir, "documents")))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan_digests(secrets.scan(docs, secrets.train_scanner(docs)))
@@ -50,7 +54,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op4_secret_scan, op5_suffix_dedup, op6_exact_dedup, op7_mixing, op9_chat_format, op10_quality)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op3_chunk_dedup, op4_secret_scan, op5_suffix_dedup, op6_exact_dedup, op7_mixing, op9_chat_format, op10_quality)
 }
 
 #: White space of the contracts as a class of DuckDB's regular expressions.
