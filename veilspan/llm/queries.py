@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import bpe, chat, chunk_dedup, exact_dedup, mixing, near_dup, quality, secrets, suffix_dedup
+from veilspan.llm import bm25, bpe, chat, chunk_dedup, exact_dedup, mixing, near_dup, quality, secrets, suffix_dedup
 from veilspan.llm.common import table
 
 
@@ -42,6 +42,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "copies", "taken")
 
 
+def op8_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = bm25.search(docs, docs.where("doc_id % 50 = 0"))
+    return found.withColumn("score", F.round("score", 6))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -54,13 +60,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op3_chunk_dedup, op4_secret_scan, op5_suffix_dedup, op6_exact_dedup, op7_mixing, op9_chat_format, op10_quality)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op3_chunk_dedup, op4_secret_scan, op5_suffix_dedup, op6_exact_dedup, op7_mixing, op8_bm25_topk, op9_chat_format, op10_quality)
 }
 
 #: White space of the contracts as a class of DuckDB's regular expressions.
 _WS = r"[\x20\x09-\x0D]"
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_bm25_topk": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower_ascii, '[^\x20\x09-\x0D]+') AS words
+                   FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM documents)),
+        s AS (SELECT count(*) AS n, greatest(1.0, avg(len(words))) AS mean FROM d),
+        p AS (SELECT doc_id, term, count(*) AS tf, any_value(size) AS size FROM (SELECT doc_id, unnest(words) AS term, len(words) AS size FROM d) GROUP BY doc_id, term),
+        f AS (SELECT term, ln(1 + ((SELECT n FROM s) - count(*) + 0.5) / (count(*) + 0.5)) AS w FROM p GROUP BY term),
+        r AS (SELECT q.doc_id AS q_id, p.doc_id, round(sum(w * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.size / (SELECT mean FROM s)))), 9) AS score
+              FROM p q JOIN f ON q.term = f.term JOIN p ON p.term = q.term WHERE q.doc_id % 50 = 0 GROUP BY q.doc_id, p.doc_id)
+        SELECT q_id, rank, doc_id, round(score, 6) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10""",
     "op6_exact_dedup": rf"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '{_WS}+', '', 'g') AS content FROM documents)
         SELECT doc_id,
