@@ -6,15 +6,17 @@ difference, and a Jaccard similarity of t bounds that by (1 - t) / (1 + t) times
 
 1. Size bands: a band holds sizes from l to r; a pair with its larger set in a band has the smaller one in
    it or in the band below, and differs in at most k elements. The sketch is cut into k + 1 + s words, so
-   that similar sets agree in 1 + s of them (pigeonhole). Each set files its k + 1 words with most bits,
-   an order that depends on the words alone, so similar sets share a filed word (prefix filter); this
+   that similar sets agree in 1 + s of them (pigeonhole). Each set files its k + c words with most bits,
+   an order that depends on the words alone, so similar sets share c filed words (prefix filter); this
    leaves out empty and nearly empty words, which unrelated sets share.
-2. Sets that share a word form a group. Groups with the same members are one group; a group of over
-   ``max_group`` sets is split into blocks that meet in pairs. Nothing is dropped.
-3. In a group, pairs are compared by whole sketches of two or more bits for each element. Only pairs of
-   different components whose Hamming distance is within the bound are proposed: first each set's three
-   nearest, then 24, then all that are left. So a group of near copies gives links in proportion to its
-   size, and every pair is in the end linked, ruled out by its sketch, or verified.
+2. Sets that share a word form a group. Groups of up to ``small`` sets give pairs, which are counted: a pair
+   of similar sets has c shared words, in small groups and large ones together.
+3. Large groups give no pairs by themselves. Only sets with c words in large groups are kept there; groups
+   with the same members are one, and a group of over ``max_group`` is split into blocks that meet in
+   pairs. In a group, pairs are compared by whole sketches of two or more bits for each element. Only
+   pairs of different components whose Hamming distance is within the bound are proposed: first each
+   set's three nearest, then 24, then all that are left. So a group of near copies gives links in
+   proportion to its size, and every pair is in the end linked, ruled out by its sketch, or verified.
 4. Proposed pairs are verified on their texts, and links become components.
 
 Copies (equal sets) are one class from the start. Classes are known by a 64-bit digest of the set.
@@ -105,16 +107,18 @@ class Bands:
         return [(j, k) for j, k in out if k > 0]
 
     def filed(self, s: np.ndarray) -> np.ndarray:
-        """Keys of the sketch words under which a set is filed."""
+        """Keys of the sketch words under which a set is filed; their last byte is c, 255 at most."""
         keys = [np.zeros(0, np.uint64)]
         for j, k in self.places(len(s)):
-            n = k + 2 + k // 7
+            spare = 1 + k // 5
+            n, c = k + 1 + spare, 1 + spare // 2
             block = ((s >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)  # rises with s, which is sorted
             first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             words = np.zeros(n, np.uint64)
             words[block[first].astype(np.int64)] = np.bitwise_xor.reduceat(np.uint64(1) << (s & np.uint64(63)), first)
             key = mix64(mix64(words) ^ mix64(np.arange(n, dtype=np.uint64) + np.uint64(j << 32)))
-            keys.append(key[np.lexsort((key, -np.bitwise_count(words).astype(np.int64)))[: k + 1]])
+            key = key[np.lexsort((key, -np.bitwise_count(words).astype(np.int64)))[: k + c]]
+            keys.append((key & ~np.uint64(255)) | np.uint64(min(c, 255)))
         return np.concatenate(keys)
 
 
@@ -177,60 +181,90 @@ def _filed(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, "key bigint, d bigint")
 
 
-def _groups(filed: DataFrame, max_group: int) -> DataFrame:
-    """g, d: groups of two or more sets that share a key. The input's partitions are sorted by key and d."""
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """keys, members, first rows and sizes of whole groups, from partitions sorted by key and member."""
 
-    def out(keys, ds, seen):
-        keep = np.r_[True, (keys[1:] != keys[:-1]) | (ds[1:] != ds[:-1])] if len(keys) else np.zeros(0, bool)
+    def whole(keys, ds):
+        keys, ds = np.concatenate(keys), np.concatenate(ds)
+        keep = np.r_[True, (keys[1:] != keys[:-1]) | (ds[1:] != ds[:-1])]
         keys, ds = keys[keep], ds[keep]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[first, len(keys)])
-        if not (size > 1).any():
-            return None
-        with np.errstate(over="ignore"):
-            g = mix64(np.add.reduceat(mix64(ds.view(np.uint64)), first) + size.astype(np.uint64))
-        gs, members = [], []
-        for i in np.flatnonzero(size > 1):
-            if g[i] in seen:
-                continue
-            if len(seen) < 1_000_000:
-                seen.add(g[i])
-            mine = ds[first[i] : first[i] + size[i]]
-            if len(mine) <= max_group:
-                gs.append(np.full(len(mine), g[i]))
-                members.append(mine)
-                continue
-            blocks = np.array_split(mine, -(-2 * len(mine) // max_group))
-            for a in range(len(blocks)):
-                for b in range(a + 1, len(blocks)):
-                    both = np.concatenate([blocks[a], blocks[b]])
-                    gs.append(np.full(len(both), mix64(np.array([g[i] ^ np.uint64(a << 32 | b)], np.uint64))[0]))
-                    members.append(both)
-        if not gs:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(gs).view(np.int64)), pa.array(np.concatenate(members))], ["g", "d"])
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return keys, ds, first, np.diff(np.r_[first, len(keys)])
+
+    keys, ds = [], []
+    for b in batches:
+        k, d = b.column(0).to_numpy(), b.column(1).to_numpy()
+        if not len(k):
+            continue
+        last = int(np.searchsorted(k, k[-1]))
+        if last:
+            yield whole([*keys, k[:last]], [*ds, d[:last]])
+            keys, ds = [], []
+        keys.append(k[last:])
+        ds.append(d[last:])
+    if keys:
+        yield whole(keys, ds)
+
+
+def _shared(filed: DataFrame, small: int) -> DataFrame:
+    """least, pair, a, b: the pairs of groups of up to small sets (a < b), and (key, set) of larger groups.
+
+    least is c, the number of words that similar sets share, from the key.
+    """
 
     def run(batches):
-        keys, ds, seen = [], [], set()
-        for b in batches:
-            k, d = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if not len(k):
-                continue
-            last = int(np.searchsorted(k, k[-1])) if keys == [] or k[-1] != keys[-1][-1] else 0
-            keys.append(k[:last])
-            ds.append(d[:last])
-            if last:
-                if (r := out(np.concatenate(keys), np.concatenate(ds), seen)) is not None:
-                    yield r
-                keys, ds = [], []
-            else:
-                keys, ds = keys[:-1], ds[:-1]
-            keys.append(k[last:])
-            ds.append(d[last:])
-        if keys and (r := out(np.concatenate(keys), np.concatenate(ds), seen)) is not None:
-            yield r
-
-    return filed.mapInArrow(run, "g bigint, d bigint")
+        for keys, ds, first, size in _by_key(batches):
+            a, b, least, pair = [], [], [], []
+            for n in range(2, small + 1):
+                at = first[size == n]
+                for i in range(n):
+                    for j in range(i + 1, n):
+                        a.append(ds[at + i])
+                        b.append(ds[at + j])
+                        least.append(keys[at] & 255)
+                pair.append(np.ones(len(at) * n * (n - 1) // 2, bool))
+            large = np.repeat(size > small, size)
+            a.append(keys[large])
+            b.append(ds[large])
+            least.append(keys[large] & 255)
+            pair.append(np.zeros(int(large.sum()), bool))
+            a, b, least, pair = map(np.concatenate, (a, b, least, pair))
+            for i in range(0, len(a), 1 << 18):
+                cut = slice(i, i + (1 << 18))
+                yield pa.RecordBatch.from_arrays([pa.array(least[cut].astype(np.int16)), pa.array(pair[cut]), pa.array(a[cut]), pa.array(b[cut])], ["least", "pair", "a", "b"])
+
+    return filed.mapInArrow(run, "least smallint, pair boolean, a bigint, b bigint")
+
+
+def _groups(shared: DataFrame, max_group: int) -> DataFrame:
+    """g, d: groups of two or more sets, each set of members once for a partition."""
+
+    def run(batches):
+        seen: set = set()
+        for _, ds, first, size in _by_key(batches):
+            with np.errstate(over="ignore"):
+                g = mix64(np.add.reduceat(mix64(ds.view(np.uint64)), first) + size.astype(np.uint64))
+            gs, members = [], []
+            for i in np.flatnonzero(size > 1):
+                if g[i] in seen:
+                    continue
+                if len(seen) < 1_000_000:
+                    seen.add(g[i])
+                mine = ds[first[i] : first[i] + size[i]]
+                if len(mine) <= max_group:
+                    gs.append(np.full(len(mine), g[i]))
+                    members.append(mine)
+                    continue
+                blocks = np.array_split(mine, -(-2 * len(mine) // max_group))
+                for a in range(len(blocks)):
+                    for b in range(a + 1, len(blocks)):
+                        both = np.concatenate([blocks[a], blocks[b]])
+                        gs.append(np.full(len(both), mix64(np.array([g[i] ^ np.uint64(a << 32 | b)], np.uint64))[0]))
+                        members.append(both)
+            if gs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gs).view(np.int64)), pa.array(np.concatenate(members))], ["g", "d"])
+
+    return shared.mapInArrow(run, "g bigint, d bigint")
 
 
 def _pairs(members: DataFrame, num: int, den: int, nearest: int | None) -> DataFrame:
@@ -292,6 +326,22 @@ def _pairs(members: DataFrame, num: int, den: int, nearest: int | None) -> DataF
     return members.mapInArrow(run, "a bigint, b bigint")
 
 
+def _within(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b of the pairs whose sketches allow them. pairs: a, b, n_a, sketch_a, n_b, sketch_b."""
+
+    def run(batches):
+        for p in batches:
+            ok = []
+            for n, x, m, y in zip(p.column(2).to_pylist(), p.column(3), p.column(4).to_pylist(), p.column(5)):
+                limit = (den - num) * (n + m) // (den + num)
+                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                low = min(len(u), len(v))
+                ok.append(abs(n - m) <= limit and int(np.bitwise_count(fold(u, low) ^ fold(v, low)).sum()) <= limit)
+            yield pa.RecordBatch.from_arrays(p.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a bigint, b bigint")
+
+
 def _verify(pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """a, b of the pairs that are similar. pairs: a, b, text_a, text_b."""
 
@@ -316,7 +366,13 @@ def _verify(pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, max_group: int = 2048) -> DataFrame:
+#: So many ids, of 8 bytes, are sent to all tasks to pick documents; more are joined by a shuffle.
+_SENT_IDS = 1_000_000
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, small: int = 8, max_group: int = 2048
+) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, n_verified (the links of its class that were verified on the way)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -324,13 +380,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = scratch.save(_sets(rows, width), "sets")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     filed = _filed(rows, width, num, den).repartition(parts, "key").sortWithinPartitions("key", "d")
-    groups = scratch.save(_groups(filed, max_group), "groups0")
+    shared = scratch.save(_shared(filed, small), "shared")
     scratch.release()
+
+    large = shared.where("NOT pair").select(F.col("a").alias("key"), F.col("b").alias("d"), "least")
+    often = scratch.save(large.groupBy("d", "least").agg(F.count(F.lit(1)).alias("n")), "often")
+    pairs = shared.where("pair").groupBy("a", "b", "least").agg(F.count(F.lit(1)).alias("n"))
+    in_large = lambda x: often.select(F.col("d").alias(x), "least", F.col("n").alias(f"n_{x}"))
+    pairs = pairs.join(in_large("a"), ["a", "least"], "left").join(in_large("b"), ["b", "least"], "left")
+    enough = F.col("n") + F.least(F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0))) >= F.col("least")
+    pairs = scratch.save(pairs.where(enough).select("a", "b").distinct(), "pairs")
+    large = large.join(often.where("n >= least").select("d", "least"), ["d", "least"], "left_semi").select("key", "d")
+    groups = scratch.save(_groups(large.repartition(parts, "key").sortWithinPartitions("key", "d"), max_group), "groups0")
     groups = scratch.save(groups.distinct(), "groups")
-    scratch.drop("groups0")
+    for done in ("shared", "groups0"):
+        scratch.drop(done)
+    scratch.release()
+
     classes = sets.where("d IS NOT NULL").groupBy("d").agg(F.min("doc_id").alias("node"))
-    wanted = scratch.save(classes.join(groups.select("d").distinct(), "d"), "wanted")
-    texts = rows.join(wanted.hint("shuffle_hash"), rows["doc_id"] == wanted["node"]).select("d", "node", "text").dropDuplicates(["d"])
+    ends = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).unionByName(groups.select("d")).distinct()
+    wanted = scratch.save(classes.join(ends, "d"), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= _SENT_IDS else wanted.hint("shuffle_hash")
+    texts = rows.join(wanted, rows["doc_id"] == wanted["node"]).select("d", "node", "text").dropDuplicates(["d"])
 
     def sketched(batches):
         for b in batches:
@@ -343,37 +414,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     texts = scratch.save(texts.mapInArrow(sketched, "d bigint, node bigint, text string, n bigint, sketch binary"), "texts")
     scratch.release()
-    slim = texts.select("d", "n", "sketch")
-    comp, tested, links = texts.select("d", F.col("node").alias("comp")), None, None
-    for i, nearest in enumerate((3, 24, None)):
-        members = groups.join(comp, "d")
-        if i:  # groups of one component have nothing left to compare
-            mixed = members.groupBy("g").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select("g")
-            members = members.join(mixed, "g", "left_semi")
-        members = members.join(slim, "d").select("g", "d", "comp", "n", "sketch")
-        pairs = _pairs(members.repartition(parts, "g").sortWithinPartitions("g"), num, den, nearest).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs{i}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if pairs.isEmpty():
-            break
+    slim, nodes = texts.select("d", "n", "sketch"), texts.select("d", "node")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
         both = pairs.join(texts.select(F.col("d").alias("a"), F.col("text").alias("text_a")), "a")
         both = both.join(texts.select(F.col("d").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        found = scratch.save(_verify(both, width, num, den), f"links{i}")
-        links = found if links is None else links.unionByName(found)
-        nodes = texts.select("d", "node")
+        return scratch.save(_verify(both, width, num, den), name)
+
+    def labelled(links: DataFrame, name: str) -> DataFrame:
         ends = links.join(nodes.select(F.col("d").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("d").alias("b"), F.col("node").alias("v")), "b")
-        labels = components(ends.select("u", "v"), scratch, f"cc{i}-")
+        labels = components(ends.select("u", "v"), scratch, name)
         comp = nodes.join(labels, nodes["node"] == labels["node"], "left").select("d", F.coalesce("component", nodes["node"]).alias("comp"))
-        comp = scratch.save(comp, f"comp{i}")
+        comp = scratch.save(comp, f"{name}comp")
         scratch.release()
+        return comp
+
+    both = pairs.join(slim.select(F.col("d").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
+    both = both.join(slim.select(F.col("d").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
+    pairs = scratch.save(_within(both.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b"), num, den), "within")
+    links, tested = verified(pairs, "links"), pairs
+    comp = labelled(links, "cc-")
+    for i, nearest in enumerate((3, 24, None)):
+        members = groups.join(comp, "d")  # groups of one component have nothing left to compare
+        mixed = members.groupBy("g").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select("g")
+        members = members.join(mixed, "g", "left_semi").join(slim, "d").select("g", "d", "comp", "n", "sketch")
+        more = _pairs(members.repartition(parts, "g").sortWithinPartitions("g"), num, den, nearest).distinct()
+        more = scratch.save(more.join(tested, ["a", "b"], "left_anti"), f"pairs{i}")
+        if more.isEmpty():
+            if nearest is None:
+                break
+            continue
+        tested = tested.unionByName(more)
+        links = links.unionByName(verified(more, f"links{i}"))
+        comp = labelled(links, f"cc{i}-")
     out = classes.join(comp, "d", "left").select("d", F.coalesce("comp", "node").alias("component_id"))
-    if links is None:
-        out = out.withColumn("n_verified", F.lit(0).cast("bigint"))
-    else:
-        degree = links.select(F.col("a").alias("d")).unionByName(links.select(F.col("b").alias("d"))).groupBy("d").agg(F.count(F.lit(1)).alias("n_verified"))
-        out = out.join(degree, "d", "left").withColumn("n_verified", F.coalesce("n_verified", F.lit(0)).cast("bigint"))
+    degree = links.select(F.col("a").alias("d")).unionByName(links.select(F.col("b").alias("d"))).groupBy("d").agg(F.count(F.lit(1)).alias("n_verified"))
+    out = out.join(degree, "d", "left")
     out = sets.join(out, "d", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_verified", F.lit(0).cast("bigint")).alias("n_verified"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
