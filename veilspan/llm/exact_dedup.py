@@ -60,7 +60,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = _keyed(docs, id_col, text_col, salts).select("doc_id", *_KEY, "_rank")
     both = rows.join(groups, _KEY)
     again = F.row_number().over(Window.partitionBy(*_KEY, "doc_id").orderBy(F.desc("_rank")))
-    return both.withColumn("_again", again).select(
+    # Dealt anew by document, so that the join may split a hot group.
+    return both.repartition("doc_id").withColumn("_again", again).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_again") == 1)).alias("kept"), "text_sha256"
     )
 
