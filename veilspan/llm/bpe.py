@@ -131,7 +131,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 #: Two slots for each pair of ids in the literal rank map.
-_SLOTS, _FIRST, _SECOND, _MIX = 1 << 19, 500009, 524261, (1000003, 999983)
+_SLOTS, _FIRST, _SECOND, _MIX = 1 << 18, 250007, 262133, (1000003, 999983)
 
 
 def rank_map(ranks: dict[bytes, int]) -> list[int]:
@@ -188,8 +188,8 @@ def merge_batch(words: list[bytes], path: str, widest: int = 256) -> list[np.nda
         else:
             by_width.setdefault(max(4, 1 << (len(w) - 1).bit_length()), []).append(i)
     for width, chosen in by_width.items():
-        for at in range(0, len(chosen), max(1, (1 << 19) // width)):
-            rows = chosen[at : at + max(1, (1 << 19) // width)]
+        for at in range(0, len(chosen), max(1, (1 << 17) // width)):
+            rows = chosen[at : at + max(1, (1 << 17) // width)]
             ids = np.full((len(rows), width + 1), -1, np.int64)
             sizes = np.array([len(words[i]) for i in rows])
             inside = np.arange(width + 1) < sizes[:, None]
@@ -250,10 +250,10 @@ def fold_column(words: str, ranks: dict[bytes, int]):
     """
     literal = F.from_json(F.lit(json.dumps(rank_map(ranks), separators=(",", ":"))), "array<bigint>")
 
-    def rank(a, b):
+    def rank(table, a, b):
         pair = a * 65536 + b
-        one = F.get(literal, (pair % _FIRST).cast("int"))
-        two = F.get(literal, (((pair % _MIX[0]) * (pair % _MIX[1])) % _SECOND).cast("int"))
+        one = F.get(table, (pair % _FIRST).cast("int"))
+        two = F.get(table, (((pair % _MIX[0]) * (pair % _MIX[1])) % _SECOND).cast("int"))
         found = F.when(F.shiftright(one, 16) == pair, one.bitwiseAND(F.lit(65535))).when(F.shiftright(two, 16) == pair, two.bitwiseAND(F.lit(65535)))
         return F.coalesce(found, F.lit(_NONE).cast("bigint"))
 
@@ -263,34 +263,36 @@ def fold_column(words: str, ranks: dict[bytes, int]):
     def low(x):
         return x.bitwiseAND(F.lit((1 << 20) - 1))
 
-    def both(a, b):
-        return F.when(b.isNull(), a + (_NONE << 20)).otherwise(a + F.shiftleft(rank(a, b), 20))
+    def both(table, a, b):
+        return F.when(b.isNull(), a + (_NONE << 20)).otherwise(a + F.shiftleft(rank(table, a, b), 20))
 
-    def step(parts, _):
+    def step(table, parts):
         # Rank and place of the lowest pair; of equal ranks the leftmost.
         lowest = F.array_min(F.transform(parts, lambda x, i: F.shiftright(x, 20) * 64 + i))
 
         def join(m):
             i, joined = m.bitwiseAND(F.lit(63)).cast("int"), F.shiftright(m, 6)
-            left = named(low(F.get(parts, i - 1)), lambda a: F.array(both(a, joined)))
-            mid = F.array(both(joined, low(F.get(parts, i + 2))))
+            left = named(low(F.get(parts, i - 1)), lambda a: F.array(both(table, a, joined)))
+            mid = F.array(both(table, joined, low(F.get(parts, i + 2))))
             made = F.when(i > 0, F.concat(F.slice(parts, F.lit(1), i - 1), left, mid, F.slice(parts, i + 3, F.lit(64)))).otherwise(F.concat(mid, F.slice(parts, i + 3, F.lit(64))))
             return F.when(joined >= _NONE, parts).otherwise(made)
 
         return named(lowest, join)
 
-    def folded(word):
-        first = F.transform(word, lambda x, i: both(x, F.get(word, i + 1)))
-        merged = named(first, lambda parts: F.aggregate(F.sequence(F.lit(2), F.size(word)), parts, step))
+    def folded(table, word):
+        first = F.transform(word, lambda x, i: both(table, x, F.get(word, i + 1)))
+        merged = named(first, lambda parts: F.aggregate(F.sequence(F.lit(2), F.size(word)), parts, lambda p, _: step(table, p)))
         return F.when(F.size(word) < 2, word).otherwise(F.transform(merged, low))
 
-    return F.transform(words, folded)
+    # The literal is named once, as every mention of it would be a copy in the plan.
+    return named(literal, lambda table: F.transform(words, lambda word: folded(table, word)))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 32 << 20, folded: int = 24576, long_piece: int = 48) -> DataFrame:
-    """doc_id and ids (binary: little-endian unsigned 32-bit integers)."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 8 << 20, folded: int = 8192, long_piece: int = 48, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (binary: little-endian unsigned 32-bit integers); with decoded also the bytes of these ids."""
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_of(docs, text_col).alias("text"))
     shape = pa.list_(pa.struct([("doc_id", pa.int64()), ("at", pa.binary())]))
+    names = ["doc_id", "ids"] + ["decoded"] * decoded
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(path)
@@ -332,6 +334,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield row()
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = pieces_of(path)
+
+        def batch(doc_ids, out):
+            columns = [doc_ids, pa.array(out, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns + [pa.array([decode_ids(i, tokens) for i in out], pa.binary())] * decoded, names)
+
         for b in batches:
             for r in range(b.num_rows):
                 coded = b.column(2).slice(r, 1).flatten()
@@ -343,34 +351,52 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 docs_of = b.column(1).slice(r, 1).flatten()
                 doc_ids, out, made, done = docs_of.field("doc_id"), [], 0, 0
                 for at in docs_of.field("at"):
-                    place = np.frombuffer(at.as_py(), np.int32)
+                    place = np.frombuffer(at.as_buffer(), np.int32)
                     size = lengths[place]
                     upto = np.cumsum(size)
                     total = int(upto[-1]) if len(upto) else 0
                     out.append(flat[np.repeat(starts[place] - upto + size, size) + np.arange(total)].tobytes())
                     made += total
                     if made > 1 << 20:
-                        yield pa.RecordBatch.from_arrays([doc_ids.slice(done, len(out)), pa.array(out, pa.binary())], ["doc_id", "ids"])
+                        yield batch(doc_ids.slice(done, len(out)), out)
                         done, out, made = done + len(out), [], 0
                 if out:
-                    yield pa.RecordBatch.from_arrays([doc_ids.slice(done, len(out)), pa.array(out, pa.binary())], ["doc_id", "ids"])
+                    yield batch(doc_ids.slice(done, len(out)), out)
+                del coded, more, flat, docs_of, doc_ids
+            pa.default_memory_pool().release_unused()
 
     packed = rows.mapInArrow(pack, "words array<array<bigint>>, rest array<binary>, docs array<struct<doc_id:bigint,at:binary>>")
     coded = packed.select("rest", "docs", fold_column("words", read_ranks(path)).alias("ids"))
-    return coded.mapInArrow(unpack, "doc_id bigint, ids binary")
+    return coded.mapInArrow(unpack, "doc_id bigint, ids binary" + ", decoded binary" * decoded)
+
+
+@lru_cache(4)
+def pieces_of(path: str) -> list[bytes]:
+    return [w for w, _ in sorted(read_ranks(path).items(), key=lambda x: x[1])]
+
+
+def decode_ids(ids: bytes, pieces: list[bytes]) -> bytes:
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and decoded (binary): the bytes of the ids one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = [w for w, _ in sorted(read_ranks(path).items(), key=lambda x: x[1])]
+        pieces = pieces_of(path)
         for b in batches:
-            texts = [b"".join(map(pieces.__getitem__, np.frombuffer(i.as_py(), "<u4").tolist())) for i in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                texts = [decode_ids(i.as_buffer(), pieces) for i in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, decoded binary")
 
 
+def roundtrip(docs: DataFrame, path: str, **options) -> DataFrame:
+    """doc_id, ids, decoded: decode(encode()) in the same tasks, so ids don't pass through two more workers."""
+    return encode(docs, path, decoded=True, **options)
+
+
 def token_digests(decoded: DataFrame) -> DataFrame:
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

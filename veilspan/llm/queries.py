@@ -18,7 +18,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.token_digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe.token_digests(bpe.roundtrip(table(spark, sf_dir, "documents"), path))
 
 
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
