@@ -32,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document of the mix, encoded and decoded again."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.token_digests(bpe.decode(bpe.encode(docs, path), path))
+    return bpe.token_digests(bpe.roundtrip(docs, path))
 
 
 STAGES = [
