@@ -75,6 +75,8 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(-(2**62))).alias("doc"), docs[id_col].cast("bigint").alias("doc_id"), text_of(docs, text_col).alias("text"))
     found = scratch.save(chunks(rows.select("doc", "text"), mean, max_chunk), "chunks")
     index = found.groupBy("k", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.expr(_PLACE).cast("decimal(38,0)")).alias("place")).where("n > 1")
+    index = scratch.save(index, "index")
+    scratch.release()
     again = found.join(index, ["k", "u"]).select("doc", "start", "size", (F.expr(_PLACE).cast("decimal(38,0)") != F.col("place")).alias("gone"))
     listed = again.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "size", "gone"))).alias("again"))
     listed = scratch.save(listed, "again")
