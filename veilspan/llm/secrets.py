@@ -208,7 +208,9 @@ def made_findings(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
 
 def train_scanner(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_findings: int = 1500, min_recall: float = 0.98) -> Network:
     """Trains on made findings and on at most max_findings texts of the corpus, the first by a hash of doc_id."""
-    sample = docs.select(docs[id_col].alias("_id"), F.substring(text_of(docs, text_col), 1, 4000).alias("_t")).orderBy(F.xxhash64("_id"), "_id").limit(max_findings)
+    picked = docs.select(docs[id_col].alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(max_findings)
+    texts = docs.select(docs[id_col].alias("_id"), F.substring(text_of(docs, text_col), 1, 4000).alias("_t"))
+    sample = texts.join(F.broadcast(picked.distinct()), "_id").orderBy(F.xxhash64("_id"), "_t")  # max_findings ids at most
     x, y = made_findings(3000)
     xs, ys = [], []
     for row in sample.toLocalIterator():
