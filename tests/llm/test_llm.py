@@ -221,6 +221,20 @@ def test_exact_dedup_edges(spark):
     assert exact_dedup.keep_first(docs.where("doc_id <> 7")).count() == 2 and exact_dedup.exact_dedup(docs.limit(0)).count() == 0
 
 
+def test_dedup_stages_keep_one_of_repeated_and_null_id_rows(spark):
+    rng = random.Random(21)
+    a, b, c, e = (prose(rng, 60) for _ in range(4))
+    rows = [(7, a), (7, a), (None, b), (None, b), (None, c), (5, c + " "), (None, e), (None, e + " edit"), (4, None), (4, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    first = collections.Counter((r["doc_id"], r["text"]) for r in exact_dedup.keep_first(docs).collect())
+    assert first == collections.Counter([(7, a), (None, b), (5, c + " "), (None, e), (None, e + " edit"), (4, None)])
+    one = [(r["doc_id"], r["text"]) for r in near_dup.keep_one(docs).collect()]
+    near = [r for r in one if r[0] is None and r[1] and r[1].startswith(e)]
+    assert len(near) == 1 and collections.Counter(r for r in one if r not in near) == collections.Counter([(7, a), (None, b), (5, c + " "), (4, None), (None, "")])
+    got = near_dup.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and sorted((r["component_id"] for r in got if r["n_shingles"] and r["component_id"] is not None)) == [5, 5, 7, 7]
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(11)
     texts = [prose(rng, rng.randint(1, 60)) for _ in range(900)] + [prose(rng, 3000), None]

@@ -32,16 +32,28 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame
     return rows.select(
         "doc_id",
         "_content",
-        F.sha2(F.col("_content").cast("binary"), 256).alias("text_sha256"),
-        F.xxhash64("_content").alias("_h"),
-        F.octet_length("_content").alias("_n"),
+        *_digests(F.col("_content"), _KEY),
         F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(salts)).cast("int").alias("_salt"),
-        F.expr(f"CAST(_chars AS DECIMAL(10,0)) * {_SPAN} + coalesce({_TOP} - CAST(doc_id AS DECIMAL(20,0)), CAST(0 AS DECIMAL(20,0)))").cast("decimal(38,0)").alias("_rank"),
+        _rank(F.col("doc_id"), F.col("_chars")).alias("_rank"),
     )
 
 
+def _digests(content, names: list[str]) -> list:
+    return [c.alias(n) for c, n in zip((F.sha2(content.cast("binary"), 256), F.xxhash64(content), F.octet_length(content)), names)]
+
+
+def _rank(doc_id, chars):
+    low = F.coalesce(F.expr(_TOP) - doc_id.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    return (chars.cast("decimal(10,0)") * F.expr(_SPAN) + low).cast("decimal(38,0)")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """One row per group of equal contents: digests, group_size and keep_id."""
+    return _ranked_groups(docs, id_col, text_col, salts).drop("_best")
+
+
+def _ranked_groups(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
+    """exact_groups with _best, the rank of the row that stays."""
     rows = _keyed(docs, id_col, text_col, salts)
     salted = rows.groupBy(*_KEY, "_content", "_salt").agg(F.count(F.lit(1)).alias("_c"), F.max("_rank").alias("_rank"))
     whole = salted.groupBy(*_KEY, "_content").agg(F.sum("_c").alias("_c"), F.max("_rank").alias("_rank"))
@@ -51,6 +63,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         *_KEY,
         F.when(F.col("_contents") > 1, F.raise_error(F.lit("two contents share all digests")).cast("bigint")).otherwise(F.col("group_size")).alias("group_size"),
         F.when(low > 0, (F.expr(_TOP) - low).cast("bigint")).alias("keep_id"),
+        F.col("_rank").alias("_best"),
     )
 
 
@@ -67,6 +80,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows that stay, with all their columns. Rows need a doc_id of their own, as in ``documents``."""
-    groups = exact_groups(docs, id_col, text_col, salts).select(F.col("keep_id").alias("__keep_id"))
-    return docs.join(groups, docs[id_col].eqNullSafe(groups["__keep_id"]), "left_semi")
+    """One row of each group, with all its columns.
+
+    Rows are picked by content and rank, not by doc_id, which may be null or repeated; repeated rows agree in both.
+    """
+    names = ["__sha256", "__h", "__n", "__rank"]
+    text = text_of(docs, text_col)
+    rows = docs.select("*", *_digests(F.translate(text, SPACES, ""), names), _rank(docs[id_col].cast("bigint"), F.char_length(text)).alias("__rank"))
+    groups = _ranked_groups(docs, id_col, text_col, salts).select(*[F.col(c).alias(n) for c, n in zip([*_KEY, "_best"], names)])
+    return rows.join(groups, names, "left_semi").dropDuplicates(names).select(*[docs[c] for c in docs.columns])

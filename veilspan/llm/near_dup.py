@@ -141,7 +141,7 @@ def _rows(batch: pa.RecordBatch, i: int) -> Iterator[str]:
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, d of every document; d is null for empty sets."""
+    """doc_id, x, n, d of every document; d is null for empty sets. rows: doc_id, text, x."""
 
     def run(batches):
         for b in batches:
@@ -150,9 +150,9 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
                 s = shingles(t, width)
                 n.append(len(s))
                 d.append(digest(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d, pa.int64())], ["doc_id", "n", "d"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(d, pa.int64())], ["doc_id", "x", "n", "d"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, d bigint")
+    return rows.mapInArrow(run, "doc_id bigint, x bigint, n bigint, d bigint")
 
 
 def _filed(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -370,16 +370,25 @@ def _verify(pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 _SENT_IDS = 1_000_000
 
 
-def near_duplicates(
+def _row_hash(docs: DataFrame, id_col: str, text_col: str):
+    """Tells rows apart whose doc_id is null or shared; only repeated rows (equal doc_id and text) have it in common."""
+    doc_id = docs[id_col].cast("bigint")
+    return F.xxhash64(doc_id.isNull(), doc_id, text_of(docs, text_col))
+
+
+def _linked(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, small: int = 8, max_group: int = 2048
-) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, n_verified (the links of its class that were verified on the way)."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, x, n, d), classes (d, head, comp) and verified links (a, b).
+
+    head is the first row of a class: (none, doc_id, x), so that null doc_ids come last.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_of(docs, text_col).alias("text"))
+    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_of(docs, text_col).alias("text"), _row_hash(docs, id_col, text_col).alias("x"))
     sets = scratch.save(_sets(rows, width), "sets")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    filed = _filed(rows, width, num, den).repartition(parts, "key").sortWithinPartitions("key", "d")
+    filed = _filed(rows.drop("x"), width, num, den).repartition(parts, "key").sortWithinPartitions("key", "d")
     shared = scratch.save(_shared(filed, small), "shared")
     scratch.release()
 
@@ -397,24 +406,24 @@ def near_duplicates(
         scratch.drop(done)
     scratch.release()
 
-    classes = sets.where("d IS NOT NULL").groupBy("d").agg(F.min("doc_id").alias("node"))
+    classes = sets.where("d IS NOT NULL").groupBy("d").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x")).alias("head"))
     ends = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).unionByName(groups.select("d")).distinct()
-    wanted = scratch.save(classes.join(ends, "d"), "wanted")
+    wanted = scratch.save(classes.join(ends, "d").select("d", F.col("head.x").alias("x")), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= _SENT_IDS else wanted.hint("shuffle_hash")
-    texts = rows.join(wanted, rows["doc_id"] == wanted["node"]).select("d", "node", "text").dropDuplicates(["d"])
+    texts = rows.join(wanted, "x").select("d", "text").dropDuplicates(["d"])
 
     def sketched(batches):
         for b in batches:
             n, sk = [], []
-            for t in _rows(b, 2):
+            for t in _rows(b, 1):
                 s = shingles(t, width)
                 n.append(len(s))
                 sk.append(sketch(s))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(sk, pa.binary())], ["d", "node", "text", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(sk, pa.binary())], ["d", "text", "n", "sketch"])
 
-    texts = scratch.save(texts.mapInArrow(sketched, "d bigint, node bigint, text string, n bigint, sketch binary"), "texts")
+    texts = scratch.save(texts.mapInArrow(sketched, "d bigint, text string, n bigint, sketch binary"), "texts")
     scratch.release()
-    slim, nodes = texts.select("d", "n", "sketch"), texts.select("d", "node")
+    slim, nodes = texts.select("d", "n", "sketch"), texts.select("d")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         both = pairs.join(texts.select(F.col("d").alias("a"), F.col("text").alias("text_a")), "a")
@@ -422,9 +431,8 @@ def near_duplicates(
         return scratch.save(_verify(both, width, num, den), name)
 
     def labelled(links: DataFrame, name: str) -> DataFrame:
-        ends = links.join(nodes.select(F.col("d").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("d").alias("b"), F.col("node").alias("v")), "b")
-        labels = components(ends.select("u", "v"), scratch, name)
-        comp = nodes.join(labels, nodes["node"] == labels["node"], "left").select("d", F.coalesce("component", nodes["node"]).alias("comp"))
+        labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, name)
+        comp = nodes.join(labels, nodes["d"] == labels["node"], "left").select("d", F.coalesce("component", "d").alias("comp"))
         comp = scratch.save(comp, f"{name}comp")
         scratch.release()
         return comp
@@ -447,7 +455,22 @@ def near_duplicates(
         tested = tested.unionByName(more)
         links = links.unionByName(verified(more, f"links{i}"))
         comp = labelled(links, f"cc{i}-")
-    out = classes.join(comp, "d", "left").select("d", F.coalesce("comp", "node").alias("component_id"))
+    classes = classes.join(comp, "d", "left").select("d", "head", F.coalesce("comp", "d").alias("comp"))
+    return sets, classes, links
+
+
+#: The classes of a large component meet their head in so many tasks.
+_SALTS = 16
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, n_verified (the links of its class that were verified on the way).
+
+    component_id is the smallest doc_id of a component, and null if it has none.
+    """
+    sets, classes, links = _linked(docs, id_col, text_col, **options)
+    heads = classes.groupBy("comp").agg(F.min("head")["doc_id"].alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    out = classes.withColumn("salt", F.pmod("d", F.lit(_SALTS)).cast("int")).join(heads, ["comp", "salt"]).select("d", "component_id")
     degree = links.select(F.col("a").alias("d")).unionByName(links.select(F.col("b").alias("d"))).groupBy("d").agg(F.count(F.lit(1)).alias("n_verified"))
     out = out.join(degree, "d", "left")
     out = sets.join(out, "d", "left")
@@ -455,6 +478,12 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns."""
-    found = near_duplicates(docs, id_col, text_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__doc_id"))
-    return docs.join(found, docs[id_col] == found["__doc_id"], "left_semi")
+    """One row of each component, the one with the smallest doc_id (null comes last), with all its columns.
+
+    Texts without shingles have no links: one row of each doc_id stays, and of null doc_ids one of each text.
+    """
+    sets, classes, _ = _linked(docs, id_col, text_col, **options)
+    heads = classes.groupBy("comp").agg(F.min("head")["x"].alias("__x")).select("__x")
+    bare = sets.where("d IS NULL").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("x"))).agg(F.min("x").alias("__x")).select("__x")
+    rows = docs.select("*", _row_hash(docs, id_col, text_col).alias("__x"))
+    return rows.join(heads.unionByName(bare), "__x", "left_semi").dropDuplicates(["__x"]).select(*[docs[c] for c in docs.columns])
