@@ -264,6 +264,20 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_mix_carries_on_after_documents_that_do_not_fit(spark):
+    rng = random.Random(31)
+    sizes = [rng.randint(5, 50) for _ in range(300)] + [12000] * 3
+    docs = spark.createDataFrame([(i, "w " * n, "en", "s", 2 * n) for i, n in enumerate(sizes)], SCHEMA)
+    for seed in range(3):
+        got = mixing.mix(docs, total=0.4, seed=seed, per_bucket=16).toPandas()
+        left, want, rest = got.target.iloc[0], {}, 0.4 * sum(sizes)
+        assert abs(left - rest) < 1e-6
+        for i in sorted(range(len(sizes)), key=lambda i: hashlib.md5(f"{seed}|{i}".encode()).hexdigest()[:13]):
+            want[i] = int(sizes[i] <= left)
+            left -= want[i] * sizes[i]
+        assert dict(zip(got.doc_id, got.copies)) == want and len(got) == len(sizes)
+
+
 def test_bm25_equals_brute_force(spark):
     texts = corpus(12, 40)
     docs = docs_of(spark, texts)

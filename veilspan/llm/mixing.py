@@ -7,7 +7,9 @@ over inclusion odds (Pareto order sampling, Rosén 1997) and taken in that order
 
 The order is cut without sorting a source in one task: ranks fall into buckets of about ``per_bucket``
 documents, the buckets' sums say in which of them the cut lies, and only that one is walked row by row,
-each document being taken if it still fits.
+each document being taken if it still fits. What is then left of the target goes on to the buckets after
+it, of whose documents only those count that still fit, and so on until none does. So documents are taken
+just as by a walk over the whole order.
 
 Random numbers come from the MD5 of seed and doc_id, so reruns agree.
 
@@ -18,6 +20,7 @@ have target 0; repeated rows count as documents of their own; an empty table giv
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,6 +54,31 @@ def source_targets(sized: DataFrame, weights: Sequence[float], total: float, max
     return per.select("source", "source_size", "n_docs", F.coalesce(F.least(F.col("_level") * F.col("_w"), F.col("_cap")), F.col("_cap")).alias("target"))
 
 
+def _walk(rows: DataFrame, span: DataFrame) -> DataFrame:
+    """_source, _at, _docs, _took, _left: the next bucket of each source that what is left doesn't cover, walked in order."""
+    state = span.select("_source", F.col("_at").alias("_from"), F.col("_left").alias("_had"))
+    rows = rows.join(F.broadcast(state), rows["source"].eqNullSafe(state["_source"])).where("_bucket > _from")
+    per = rows.where("size <= _had").groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum"), F.first("_had").alias("_had"))
+    upto = Window.partitionBy("_source").orderBy("_bucket")
+    per = per.withColumn("_before", F.sum("_sum").over(upto) - F.col("_sum"))
+    cut = per.where((F.col("_before") <= F.col("_had")) & (F.col("_before") + F.col("_sum") > F.col("_had")))
+    cut = cut.select(F.col("_source").alias("_cut_source"), F.col("_bucket").alias("_at"), (F.col("_had") - F.col("_before")).alias("_room"))
+    found = rows.join(F.broadcast(cut), rows["_source"].eqNullSafe(cut["_cut_source"]) & (rows["_bucket"] == cut["_at"]))
+    found = found.groupBy("_source", "_at", "_room").agg(
+        F.array_sort(F.collect_list(F.struct("_q", "doc_id", "size", "source", "source_size", "target", "_whole"))).alias("_docs")
+    )
+    start = F.struct(F.col("_room").alias("left"), F.array().cast("array<bigint>").alias("took"))
+
+    def step(state, doc):
+        fits = doc["size"] <= state["left"]
+        return F.struct(
+            F.when(fits, state["left"] - doc["size"]).otherwise(state["left"]).alias("left"), F.concat(state["took"], F.array(F.when(fits, 1).otherwise(0).cast("bigint"))).alias("took")
+        )
+
+    found = found.withColumn("_end", F.aggregate("_docs", start, step))
+    return found.select("_source", "_at", "_docs", F.col("_end.took").alias("_took"), F.col("_end.left").alias("_left"))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -80,30 +108,28 @@ def mix(
     odds = (u / (1 - u)) / (p / (1 - p))
     # u is a document's place in [0, 1) of its source's Pareto order, as all of a source have the same odds.
     rows = rows.withColumn("_q", F.when(p > 0, odds)).withColumn("_bucket", F.floor(u * F.col("_buckets")))
-    per = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"), F.first("_rest").alias("_rest"))
-    upto = Window.partitionBy("source").orderBy("_bucket")
-    per = per.withColumn("_before", F.sum("_sum").over(upto) - F.col("_sum"))
-    cut = per.where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_sum") > F.col("_rest")))
-    cut = cut.select(F.col("source").alias("_source"), F.col("_bucket").alias("_cut"), (F.col("_rest") - F.col("_before")).alias("_left"))
-    rows = rows.join(cut, rows["source"].eqNullSafe(cut["_source"]), "left").drop("_source")
     kept = ["doc_id", "size", "source", "source_size", "target", "_whole"]
-    rows = scratch.save(rows.select(*kept, "_q", "_bucket", "_cut", "_left"), "rows")
-    at_cut = F.col("_bucket").eqNullSafe(F.col("_cut")) & F.col("_q").isNotNull()
-    sure = rows.where(~at_cut).withColumn("_extra", F.when(F.col("_q").isNotNull() & (F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut"))), 1).otherwise(0).cast("bigint"))
-    walked = rows.where(at_cut).groupBy("source", "source_size", "target", "_whole", "_left")
-    walked = walked.agg(F.array_sort(F.collect_list(F.struct("_q", "doc_id", "size"))).alias("_docs"))
-    start = F.struct(F.col("_left").alias("left"), F.array().cast("array<bigint>").alias("took"))
-
-    def step(state, doc):
-        fits = doc["size"] <= state["left"]
-        return F.struct(
-            F.when(fits, state["left"] - doc["size"]).otherwise(state["left"]).alias("left"), F.concat(state["took"], F.array(F.when(fits, 1).otherwise(0).cast("bigint"))).alias("took")
-        )
-
-    walked = walked.withColumn("_took", F.aggregate("_docs", start, step)["took"])
-    walked = walked.select("source", "source_size", "target", "_whole", F.explode(F.arrays_zip("_docs", "_took")).alias("_z"))
-    walked = walked.select(F.col("_z._docs.doc_id").alias("doc_id"), F.col("_z._docs.size").alias("size"), "source", "source_size", "target", "_whole", F.col("_z._took").alias("_extra"))
-    out = sure.select(*kept, "_extra").unionByName(walked)
+    rows = scratch.save(rows.select(*kept, "_q", "_bucket"), "rows")
+    open_ = rows.where(F.col("_q").isNotNull())
+    # _at, _left: what is left of a source's target after its bucket _at; one row for each cut so far.
+    spans = [scratch.save(targets.select("_source", F.lit(-1).cast("bigint").alias("_at"), F.col("_rest").alias("_left")), "span0")]
+    walks = []
+    while True:
+        walked = scratch.save(_walk(open_, spans[-1]), f"walk{len(walks)}")
+        if walked.isEmpty():
+            break
+        walks.append(walked)
+        spans.append(scratch.save(walked.select("_source", "_at", "_left"), f"span{len(walks)}"))
+    cuts = reduce(DataFrame.unionByName, spans).groupBy("_source").agg(F.array_sort(F.collect_list(F.struct("_at", "_left"))).alias("_cuts"))
+    rows = rows.join(F.broadcast(cuts), rows["source"].eqNullSafe(cuts["_source"])).drop("_source")
+    last = F.element_at(F.filter("_cuts", lambda c: c["_at"] <= F.col("_bucket")), -1)
+    rows = rows.withColumn("_last", last)
+    at_cut = F.col("_q").isNotNull() & (F.col("_last._at") == F.col("_bucket"))
+    fits = F.col("_q").isNotNull() & (F.col("size") <= F.col("_last._left"))
+    out = rows.where(~at_cut).select(*kept, F.when(fits, 1).otherwise(0).cast("bigint").alias("_extra"))
+    for walked in walks:
+        each = walked.select(F.explode(F.arrays_zip("_docs", "_took")).alias("_z")).select("_z._docs.*", F.col("_z._took").alias("_extra"))
+        out = out.unionByName(each.select(*kept, "_extra"))
     copies = F.col("_whole") + F.col("_extra")
     return out.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
