@@ -186,6 +186,21 @@ def test_network_separates_made_findings_and_keeps_rule_spans(spark):
     assert got[0]["base_sha256"] == secrets.base_digest(text) and got[1]["spans"] == ""
 
 
+def test_network_reads_the_middle_of_long_runs():
+    x, y = secrets.made_findings(3000)
+    held = np.arange(len(x)) % 5 == 0
+    net = secrets.Network.new()
+    net.train(x[~held], y[~held])
+    net.calibrate(x[held], y[held], 0.98)
+    ends = ("trains/house-dinner.later/mountain/lessons-and-notes/road", "later.summer/notes-of-the-house/reports/trains-and-roads/2019")
+    plain, hidden = f"see {ends[0]}/{ends[0]}/{ends[1]} end", f"see {ends[0]}/a8Kd93kLmQ0zXv72PsT4uWy61BnRe5Gh/{ends[1]} end"
+    assert 145 < len(hidden) < 170 and len(secrets.candidates(hidden)) == len(secrets.candidates(plain)) == 1
+    assert [k for _, _, k, _ in secrets.scan_text(hidden, net)] == ["cnn"] and secrets.scan_text(plain, net) == []
+    # Every character of a long run is inside some window, however long the run.
+    text = "x1" * 3000
+    assert sum(1 for _ in secrets.windows(text, 0, len(text))) >= len(text) / 48 + 1
+
+
 def test_suffix_dedup_equals_brute_force(spark):
     rng = random.Random(8)
     texts = corpus(9, 25) + ["abc " * 300, "abc " * 250 + "end", "q" * 900, prose(rng, 50) + "q" * 500 + "é", None]

@@ -2,9 +2,9 @@
 
 Rules (fixed values, see ``RULES``) find assignments, access keys and hex strings. Candidates are runs of
 16 or more token characters that mix digits with letters or change case often. The network, in numpy,
-reads each candidate with the characters before and after it. It is trained on labelled findings: ones
-made by a seeded generator, and rule findings and other candidates of a bounded sample of the corpus
-(``max_findings``). Its scores are calibrated on findings held back from training, and the threshold is
+reads each candidate with the characters before and after it, long ones whole, window by window; the
+greatest score counts. It is trained on labelled findings: ones made by a seeded generator, and rule
+findings and other candidates of a bounded sample of the corpus (``max_findings``). Its scores are calibrated on findings held back from training, and the threshold is
 the highest at which it still finds ``min_recall`` of the secrets among those.
 
 Spans of rules always stay; candidates above the threshold that overlap none of them are added as kind
@@ -20,6 +20,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +98,14 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return out
 
 
+def windows(text: str, start: int, end: int) -> Iterator[np.ndarray]:
+    """The candidate's window and, if it is long, one for every place of a window slid over all of it by half its width."""
+    yield window(text, start, end)
+    if end - start > _INSIDE:
+        for at in (*range(start, end - _INSIDE, _INSIDE // 2), end - _INSIDE):
+            yield window(text, at, at + _INSIDE)
+
+
 @dataclass
 class Network:
     """Embedding, one convolution, ReLU, maxima over candidate and context, logistic output."""
@@ -227,6 +236,15 @@ def train_scanner(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return net
 
 
+def span_scores(text: str, spans: list, net: Network, block: int = 4096) -> np.ndarray:
+    """The greatest probability of each span's windows. spans start with start and end."""
+    best = np.zeros(len(spans))
+    every = ((i, w) for i, span in enumerate(spans) for w in windows(text, span[0], span[1]))
+    while held := list(islice(every, block)):
+        np.maximum.at(best, [i for i, _ in held], net.probability(np.stack([w for _, w in held])))
+    return best
+
+
 def scan_text(text: str, net: Network) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, probability) of all findings; the network reads each, but rules' spans stay anyhow."""
     base = rule_spans(text)
@@ -234,7 +252,7 @@ def scan_text(text: str, net: Network) -> list[tuple[int, int, str, float]]:
     spans = base + [(s, e, "cnn") for s, e in rest]
     if not spans:
         return []
-    scores = net.probability(np.stack([window(text, s, e) for s, e, _ in spans]))
+    scores = span_scores(text, spans, net)
     found = [(s, e, k, float(q)) for (s, e, k), q in zip(spans, scores) if k != "cnn" or q >= net.threshold]
     order = {k: i for i, k in enumerate((*KINDS, "cnn"))}
     return sorted(found, key=lambda f: (f[0], order[f[2]]))
