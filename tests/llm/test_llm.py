@@ -97,12 +97,11 @@ def word_sets(texts, width):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 2, "max_group": 4}, {"small": 1}])
-@pytest.mark.parametrize("width,num", [(4, 85), (5, 80)])
+@pytest.mark.parametrize("width,num,options", [(4, 85, {}), (5, 80, {"max_group": 3}), (5, 80, {"max_group": 2, "budget": 300})])
 def test_near_duplicates(spark, width, num, options):
     texts = corpus(3)
     sets = word_sets(texts, width)
-    comp = list(range(len(texts)))
+    comp, links = list(range(len(texts))), [0] * len(texts)
 
     def find(x):
         while comp[x] != x:
@@ -113,15 +112,26 @@ def test_near_duplicates(spark, width, num, options):
         for b in range(a):
             both = len(sets[a] & sets[b])
             if both and 100 * both >= num * len(sets[a] | sets[b]):
+                links[a], links[b] = links[a] + 1, links[b] + 1
                 x, y = find(a), find(b)
                 comp[max(x, y)] = min(x, y)
     got = {r["doc_id"]: r for r in near_dup.near_duplicates(docs_of(spark, texts), width=width, num=num, **options).collect()}
     assert [got[i]["component_id"] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
     assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
+    assert [got[i]["n_links"] for i in range(len(texts))] == links
     kept = {r["doc_id"] for r in near_dup.keep_one(docs_of(spark, texts), width=width, num=num).collect()}
     assert kept == {find(i) for i in range(len(texts))}
 
 
+def test_overlaps_of_bit_rows_and_postings_agree():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 60)).astype(np.uint64)) for _ in range(30)]
+    wide, narrow = near_dup.Overlaps(sets), near_dup.Overlaps(sets, widest=0)
+    for i in range(30):
+        want = [len(np.intersect1d(sets[i], s)) for s in sets[i + 1 :]]
+        assert wide.after(i).tolist() == want and narrow.after(i).tolist() == want
+
+
 def test_parity_sketches_bound_the_difference():
     rng = np.random.default_rng(4)
     for _ in range(50):

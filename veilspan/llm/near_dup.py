@@ -4,26 +4,30 @@ A document's set is its distinct word shingles, as 64-bit hashes. XOR-hashing a
 element flips one bit) makes the Hamming distance of two sketches a lower bound of the sets' symmetric
 difference, and a Jaccard similarity of t bounds that by (1 - t) / (1 + t) times the sum of their sizes.
 
-1. Size bands: a band holds sizes from l to r; a pair with its larger set in a band has the smaller one in
-   it or in the band below, and differs in at most k elements. The sketch is cut into k + 1 + s words, so
-   that similar sets agree in 1 + s of them (pigeonhole). Each set files its k + c words with most bits,
-   an order that depends on the words alone, so similar sets share c filed words (prefix filter); this
-   leaves out empty and nearly empty words, which unrelated sets share.
-2. Sets that share a word form a group. Groups of up to ``small`` sets give pairs, which are counted: a pair
-   of similar sets has c shared words, in small groups and large ones together.
-3. Large groups give no pairs by themselves. Only sets with c words in large groups are kept there; groups
-   with the same members are one, and a group of over ``max_group`` is split into blocks that meet in
-   pairs. In a group, pairs are compared by whole sketches of two or more bits for each element. Only
-   pairs of different components whose Hamming distance is within the bound are proposed: first each
-   set's three nearest, then 24, then all that are left. So a group of near copies gives links in
-   proportion to its size, and every pair is in the end linked, ruled out by its sketch, or verified.
-4. Proposed pairs are verified on their texts, and links become components.
-
-Copies (equal sets) are one class from the start. Classes are known by a 64-bit digest of the set.
+1. Sets: one pass over the texts gives each document's size, a 128-bit digest and the words of its sketch.
+   Documents with equal digests are one class; from here on only classes move.
+2. Size bands: a band holds sizes from l to r; a pair with its larger set in a band has the smaller one in
+   it or in the band below, and differs in at most k elements. The sketch is cut into k + 1 + s words of
+   2^32 bits, known by the XOR of a random number for each bit that is set, so similar sets agree in 1 + s
+   of them (pigeonhole). Each set files as many words as it can differ in, and c more, those with most
+   elements first; similar sets share c filed words (prefix filter).
+3. Sets that share a word form a group. Sets with fewer than c words in groups go, groups with the same members are
+   one. In a group, sets are compared by whole sketches of two or more bits for each element, and pairs whose
+   Hamming distance is within the bound are candidates. A group gives a spanning forest of its candidates
+   (Prim's algorithm, so no pairs are held), and a group of over ``max_group`` sets a star of all of them.
+4. Components of these edges are candidate families: no link leaves one. A family's texts meet in one
+   task if they have up to ``budget`` shingles, otherwise in blocks that meet in pairs. There every pair is verified
+   on exact sets; links are counted, not emitted, and a spanning forest of them gives the components.
+
+So what moves grows with the number of texts, and the pairs of a family are only counted in memory. Only families
+over the budget (of different sets that differ little, or share most of their words with very many) move
+each text once for each of their blocks.
 
 Defined cases: a null text or one without words has an empty set, linked with nothing; fewer words than a
-shingle make one shingle of all; ties of any kind go to the smallest doc_id; repeated rows are copies of
-each other; an empty table gives an empty result; other columns are not read.
+shingle make one shingle of all; very long texts are read whole; ties of any kind go to the smallest
+doc_id; a null doc_id ranks last, links as any other, and the component of null doc_ids alone is null;
+repeated rows are copies of each other; an empty table gives an empty result; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -77,8 +81,8 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique(mix64(out))
 
 
-def digest(s: np.ndarray) -> int:
-    return int(np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).astype(np.int64))
+def digest(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 class Bands:
@@ -97,27 +101,31 @@ class Bands:
             self.low.append(int(self.low[-1] * self.ratio) + 1)
         return int(np.searchsorted(self.low, n, "right")) - 1
 
-    def places(self, n: int) -> list[tuple[int, int]]:
-        """(band, k) of the bands in which a set of n elements is filed."""
+    def places(self, n: int) -> list[tuple[int, int, int]]:
+        """(band, k, own) of the bands in which a set of n elements is filed; own: k for this size."""
         j = self.of(n)
         self.of(self.low[j + 1])
-        out = [(j, self.bound(2 * (self.low[j + 1] - 1)))]
-        if self.den * n >= self.num * self.low[j + 1]:
-            out.append((j + 1, self.bound(2 * (self.low[j + 2] - 1))))
-        return [(j, k) for j, k in out if k > 0]
+        bands = [j, j + 1] if self.den * n >= self.num * self.low[j + 1] else [j]
+        out = []
+        for i in bands:
+            high = self.low[i + 1] - 1
+            out.append((i, self.bound(2 * high), self.bound(n + min(high, n * self.den // self.num))))
+        return [x for x in out if x[2] > 0]
 
     def filed(self, s: np.ndarray) -> np.ndarray:
         """Keys of the sketch words under which a set is filed; their last byte is c, 255 at most."""
         keys = [np.zeros(0, np.uint64)]
-        for j, k in self.places(len(s)):
+        for j, k, own in self.places(len(s)):
             spare = 1 + k // 5
             n, c = k + 1 + spare, 1 + spare // 2
             block = ((s >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)  # rises with s, which is sorted
             first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            words = np.zeros(n, np.uint64)
-            words[block[first].astype(np.int64)] = np.bitwise_xor.reduceat(np.uint64(1) << (s & np.uint64(63)), first)
+            at = block[first].astype(np.int64)
+            words, size = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+            words[at] = np.bitwise_xor.reduceat(mix64(s & np.uint64(0xFFFFFFFF)), first)
+            size[at] = np.diff(np.r_[first, len(s)])
             key = mix64(mix64(words) ^ mix64(np.arange(n, dtype=np.uint64) + np.uint64(j << 32)))
-            key = key[np.lexsort((key, -np.bitwise_count(words).astype(np.int64)))[: k + c]]
+            key = key[np.lexsort((key, -size))[: own + c]]
             keys.append((key & ~np.uint64(255)) | np.uint64(min(c, 255)))
         return np.concatenate(keys)
 
@@ -135,239 +143,241 @@ def fold(words: np.ndarray, n: int) -> np.ndarray:
     return words
 
 
-def _rows(batch: pa.RecordBatch, i: int) -> Iterator[str]:
-    for t in batch.column(i):
-        yield t.as_py()
+def _sets(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """doc_id, x, n, digest, keys of every document; digest and keys are null for empty sets. rows: doc_id, x, text."""
 
-
-def _sets(rows: DataFrame, width: int) -> DataFrame:
-    """doc_id, x, n, d of every document; d is null for empty sets. rows: doc_id, text, x."""
-
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
         for b in batches:
-            n, d = [], []
-            for t in _rows(b, 1):
-                s = shingles(t, width)
+            n, d, keys, held, done = [], [], [], 0, 0
+            for i, t in enumerate(b.column(2)):
+                s = shingles(t.as_py(), width)
                 n.append(len(s))
                 d.append(digest(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(d, pa.int64())], ["doc_id", "x", "n", "d"])
+                keys.append(bands.filed(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                held += len(keys[-1])
+                if held > 200_000 or i + 1 == b.num_rows:
+                    part = b.slice(done, len(n))
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(d, pa.binary()), lists], ["doc_id", "x", "n", "digest", "keys"])
+                    n, d, keys, held, done = [], [], [], 0, i + 1
 
-    return rows.mapInArrow(run, "doc_id bigint, x bigint, n bigint, d bigint")
+    return rows.mapInArrow(run, "doc_id bigint, x bigint, n bigint, digest binary, keys array<bigint>")
 
 
-def _filed(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """key, d: each once for a batch of documents."""
+def _met(filed: DataFrame) -> DataFrame:
+    """The rows (key, d) whose key others have too. Partitions are sorted by key; only one row is held back."""
 
-    def run(batches):
-        bands = Bands(num, den)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, again = None, False  # the last row, and whether its key was met before
         for b in batches:
-            seen, keys, ds = set(), [], []
-            held = 0
-            for t in _rows(b, 1):
-                s = shingles(t, width)
-                if len(s) == 0 or (d := digest(s)) in seen:
-                    continue
-                seen.add(d)
-                k = bands.filed(s)
-                keys.append(k.view(np.int64))
-                ds.append(np.full(len(k), d, np.int64))
-                held += len(k)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ds))], ["key", "d"])
-                    keys, ds, held = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ds))], ["key", "d"])
-
-    return rows.mapInArrow(run, "key bigint, d bigint")
-
-
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """keys, members, first rows and sizes of whole groups, from partitions sorted by key and member."""
-
-    def whole(keys, ds):
-        keys, ds = np.concatenate(keys), np.concatenate(ds)
-        keep = np.r_[True, (keys[1:] != keys[:-1]) | (ds[1:] != ds[:-1])]
-        keys, ds = keys[keep], ds[keep]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        return keys, ds, first, np.diff(np.r_[first, len(keys)])
-
-    keys, ds = [], []
-    for b in batches:
-        k, d = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(k):
-            continue
-        last = int(np.searchsorted(k, k[-1]))
-        if last:
-            yield whole([*keys, k[:last]], [*ds, d[:last]])
-            keys, ds = [], []
-        keys.append(k[last:])
-        ds.append(d[last:])
-    if keys:
-        yield whole(keys, ds)
+            k, d = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not len(k):
+                continue
+            if last is not None:
+                k, d = np.r_[last[0], k], np.r_[last[1], d]
+            same = k[1:] == k[:-1]
+            keep = np.r_[again, same] | np.r_[same, False]
+            last, again = (k[-1:], d[-1:]), bool(keep[-1])
+            if keep[:-1].any():
+                yield pa.RecordBatch.from_arrays([pa.array(k[:-1][keep[:-1]]), pa.array(d[:-1][keep[:-1]])], ["key", "d"])
+        if again:
+            yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], ["key", "d"])
 
+    return filed.mapInArrow(run, "key bigint, d bigint")
 
-def _shared(filed: DataFrame, small: int) -> DataFrame:
-    """least, pair, a, b: the pairs of groups of up to small sets (a < b), and (key, set) of larger groups.
 
-    least is c, the number of words that similar sets share, from the key.
-    """
+def _groups(met: DataFrame, max_group: int) -> DataFrame:
+    """g, d of groups of two to max_group sets, each set of members once for a partition; a larger group has rows
+    (d, to): a star that joins all of it. Partitions are sorted by key and set; max_group members are held."""
 
-    def run(batches):
-        for keys, ds, first, size in _by_key(batches):
-            a, b, least, pair = [], [], [], []
-            for n in range(2, small + 1):
-                at = first[size == n]
-                for i in range(n):
-                    for j in range(i + 1, n):
-                        a.append(ds[at + i])
-                        b.append(ds[at + j])
-                        least.append(keys[at] & 255)
-                pair.append(np.ones(len(at) * n * (n - 1) // 2, bool))
-            large = np.repeat(size > small, size)
-            a.append(keys[large])
-            b.append(ds[large])
-            least.append(keys[large] & 255)
-            pair.append(np.zeros(int(large.sum()), bool))
-            a, b, least, pair = map(np.concatenate, (a, b, least, pair))
-            for i in range(0, len(a), 1 << 18):
-                cut = slice(i, i + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(least[cut].astype(np.int16)), pa.array(pair[cut]), pa.array(a[cut]), pa.array(b[cut])], ["least", "pair", "a", "b"])
-
-    return filed.mapInArrow(run, "least smallint, pair boolean, a bigint, b bigint")
-
-
-def _groups(shared: DataFrame, max_group: int) -> DataFrame:
-    """g, d: groups of two or more sets, each set of members once for a partition."""
-
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
-        for _, ds, first, size in _by_key(batches):
-            with np.errstate(over="ignore"):
-                g = mix64(np.add.reduceat(mix64(ds.view(np.uint64)), first) + size.astype(np.uint64))
-            gs, members = [], []
-            for i in np.flatnonzero(size > 1):
-                if g[i] in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(g[i])
-                mine = ds[first[i] : first[i] + size[i]]
-                if len(mine) <= max_group:
-                    gs.append(np.full(len(mine), g[i]))
-                    members.append(mine)
-                    continue
-                blocks = np.array_split(mine, -(-2 * len(mine) // max_group))
-                for a in range(len(blocks)):
-                    for b in range(a + 1, len(blocks)):
-                        both = np.concatenate([blocks[a], blocks[b]])
-                        gs.append(np.full(len(both), mix64(np.array([g[i] ^ np.uint64(a << 32 | b)], np.uint64))[0]))
-                        members.append(both)
-            if gs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gs).view(np.int64)), pa.array(np.concatenate(members))], ["g", "d"])
-
-    return shared.mapInArrow(run, "g bigint, d bigint")
-
-
-def _pairs(members: DataFrame, num: int, den: int, nearest: int | None) -> DataFrame:
-    """a, b (a < b): proposed pairs. members: g, d, comp, n, sketch; partitions sorted by g."""
-
-    def compare(d, comp, n, sk):
-        if (comp == comp[0]).all():
-            return
-        x = [np.frombuffer(s, np.uint64) for s in sk]
-        low = min(map(len, x))
-        x = np.stack([fold(w, low) for w in x])
-        for i in range(len(d)):
-            both = n + n[i]
-            limit = (den - num) * both // (den + num)
-            other = np.flatnonzero((comp != comp[i]) & (np.abs(n - n[i]) <= limit))
-            if not len(other):
-                continue
-            far = np.bitwise_count(x[other] ^ x[i]).sum(1, dtype=np.int64)
-            ok = far <= limit[other]
-            other, far = other[ok], far[ok]
-            if nearest is not None and len(other) > nearest:
-                other = other[np.lexsort((d[other], far))[:nearest]]
-            for j in other:
-                yield (int(min(d[i], d[j])), int(max(d[i], d[j])))
-
-    def run(batches):
-        held, found = None, set()
+        held: list[np.ndarray] = []
+        key, pivot = None, None  # of the group that is read; pivot if it is a large one
+        out: list[list[np.ndarray]] = [[], [], []]
+
+        def put(g, d, to):
+            for column, v in zip(out, (g, d, to)):
+                column.append(v)
+
+        def close():
+            members = np.unique(np.concatenate(held))
+            if pivot is not None:
+                put(np.zeros(len(members), np.int64), members, np.full(len(members), pivot))
+            elif len(members) > 1:
+                g = int(xxhash.xxh3_64_intdigest(members.tobytes()) >> 1)
+                if g not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(g)
+                    put(np.full(len(members), g), members, np.full(len(members), -1))
 
         def batch():
-            a = np.array(sorted(found), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
-
-        def done(g):
-            found.update(compare(*(np.concatenate(c) if i < 3 else sum(c, []) for i, c in enumerate(g))))
+            arrays = [pa.array(np.concatenate(c)) for c in out]
+            for column in out:
+                column.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["g", "d", "to"])
 
         for b in batches:
-            g = b.column(0).to_numpy()
-            if not len(g):
+            k, d = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not len(k):
                 continue
-            cols = [b.column(i).to_numpy() for i in (1, 2, 3)]
-            cuts = np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)]
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                part = [c[s:e] for c in cols] + [[v.as_py() for v in b.column(4).slice(s, e - s)]]
-                if held and held[0] == g[s]:
-                    for mine, more in zip(held[1], part):
-                        mine.append(more)
-                    continue
-                if held:
-                    done(held[1])
-                held = (g[s], [[c] for c in part])
-            if len(found) > 100_000:
+            cuts = np.r_[np.flatnonzero(np.r_[True, k[1:] != k[:-1]]), len(k)]
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if held and k[s] != key:
+                    close()
+                    held, pivot = [], None
+                key = k[s]
+                held.append(d[s:e])
+                if sum(map(len, held)) > max_group:
+                    pivot = held[0][0] if pivot is None else pivot
+                    close()
+                    held = [np.array([pivot])]
+            if sum(map(len, out[0])) > 100_000:
                 yield batch()
-                found.clear()
         if held:
-            done(held[1])
-        if found:
+            close()
+        if out[0]:
             yield batch()
 
-    return members.mapInArrow(run, "a bigint, b bigint")
-
+    return met.mapInArrow(run, "g bigint, d bigint, to bigint")
+
+
+def forest(n: np.ndarray, sk: list[bytes], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs whose sketches allow them to be similar, nearest first (Prim)."""
+    x = [np.frombuffer(s, np.uint64) for s in sk]
+    low = min(map(len, x))
+    x, far_off = np.stack([fold(w, low) for w in x]), np.iinfo(np.int64).max
+    best, parent, left = np.full(len(n), far_off), np.full(len(n), -1), np.arange(len(n))
+    while len(left):
+        at = int(best[left].argmin())
+        i, left = left[at], np.delete(left, at)
+        if parent[i] >= 0:
+            yield int(parent[i]), int(i)
+        limit = (den - num) * (n[left] + n[i]) // (den + num)
+        near = np.flatnonzero(np.abs(n[left] - n[i]) <= limit)
+        far = np.bitwise_count(x[left[near]] ^ x[i]).sum(1, dtype=np.int64)
+        ok = (far <= limit[near]) & (far < best[left[near]])
+        best[left[near[ok]]], parent[left[near[ok]]] = far[ok], i
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
+    """Whole runs of rows with equal first columns, in batches of these rows."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(i).to_numpy() for i in range(keys)])
+        cuts = np.r_[np.flatnonzero(np.r_[True, (k[:, 1:] != k[:, :-1]).any(0)]), b.num_rows].tolist()
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            if held and (k[:, s] != last).any():
+                yield held
+                held = []
+            held.append(b.slice(s, e - s))
+            last = k[:, s]
+    if held:
+        yield held
 
-def _within(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b of the pairs whose sketches allow them. pairs: a, b, n_a, sketch_a, n_b, sketch_b."""
 
-    def run(batches):
-        for p in batches:
-            ok = []
-            for n, x, m, y in zip(p.column(2).to_pylist(), p.column(3), p.column(4).to_pylist(), p.column(5)):
-                limit = (den - num) * (n + m) // (den + num)
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                low = min(len(u), len(v))
-                ok.append(abs(n - m) <= limit and int(np.bitwise_count(fold(u, low) ^ fold(v, low)).sum()) <= limit)
-            yield pa.RecordBatch.from_arrays(p.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def _forests(members: DataFrame, num: int, den: int) -> DataFrame:
+    """u, v: candidate edges. members: g, d, n, sketch; partitions sorted by g."""
 
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set = set()
 
+        def batch():
+            a = np.array(sorted(found), np.int64).reshape(-1, 2)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["u", "v"])
 
-def _verify(pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """a, b of the pairs that are similar. pairs: a, b, text_a, text_b."""
+        for parts in _runs(batches, 1):
+            d, n = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (1, 2))
+            sk = [v.as_py() for p in parts for v in p.column(3)]
+            found.update((int(max(d[i], d[j])), int(min(d[i], d[j]))) for i, j in forest(n, sk, num, den))
+            if len(found) > 100_000:
+                yield batch()
+        if found:
+            yield batch()
 
-    def run(batches):
-        known: dict[int, np.ndarray] = {}
+    return members.mapInArrow(run, "u bigint, v bigint")
+
+
+class Overlaps:
+    """Sizes of the intersections of some sets: of bit rows over shared elements, or of postings if these are too wide."""
+
+    def __init__(self, sets: list[np.ndarray], widest: int = 1 << 26):
+        self.n = np.array([len(s) for s in sets], np.int64)
+        _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count > 1
+        row = np.repeat(np.arange(len(sets)), self.n)[shared[at]]
+        column = (np.cumsum(shared) - 1)[at[shared[at]]]
+        wide = -(-int(shared.sum()) // 64) * 8
+        self.bits = self.by = None
+        if len(sets) * wide <= widest:
+            self.bits = np.zeros((len(sets), max(8, wide)), np.uint8)
+            np.bitwise_or.at(self.bits, (row, column >> 3), np.left_shift(1, column & 7).astype(np.uint8))
+            self.bits = self.bits.view(np.uint64)
+        else:
+            self.start = np.r_[0, np.cumsum(np.bincount(column))]
+            self.by = row[np.argsort(column, kind="stable")]
+            self.mine = np.split(column, np.cumsum(np.bincount(row, minlength=len(sets)))[:-1])
+
+    def after(self, i: int) -> np.ndarray:
+        """Of set i with every later one."""
+        if self.bits is not None:
+            return np.bitwise_count(self.bits[i + 1 :] & self.bits[i]).sum(1, dtype=np.int64)
+        out = np.zeros(len(self.n), np.int64)
+        for c in self.mine[i]:
+            out[self.by[self.start[c] : self.start[c + 1]]] += 1
+        return out[i + 1 :]
+
+
+def _linked_families(families: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """d, to, links: the links of d inside its family (blocks a and b of it), and an edge of their spanning forest.
+
+    families: comp, a, b, d, block, w (its copies), text; partitions sorted by comp, a, b.
+    """
 
-        def of(d, t):
-            if d not in known:
-                if len(known) >= 32:
-                    known.clear()
-                known[d] = shingles(t, width)
-            return known[d]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[], [], []]
 
-        for batch in batches:
-            ok = []
-            for a, b, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _rows(batch, 2), _rows(batch, 3)):
-                x, y = of(a, s), of(b, t)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        def batch():
+            arrays = [pa.array(c, pa.int64()) for c in out]
+            for column in out:
+                column.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["d", "to", "links"])
+
+        for parts in _runs(batches, 3):
+            d, block, w = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (3, 4, 5))
+            across = parts[0].column(1)[0].as_py() != parts[0].column(2)[0].as_py()
+            sets = [shingles(t.as_py(), width) for p in parts for t in p.column(6)]
+            over, links, label = Overlaps(sets), np.zeros(len(d), np.int64), np.arange(len(d))
+            for i in range(len(d) - 1):
+                both = over.after(i)
+                ok = den * both >= num * (over.n[i] + over.n[i + 1 :] - both)
+                if across:
+                    ok &= block[i + 1 :] != block[i]
+                j = np.flatnonzero(ok) + i + 1
+                if len(j):
+                    links[i] += w[j].sum()
+                    links[j] += w[i]
+                    met = np.unique(np.r_[label[i], label[j]])
+                    if len(met) > 1:
+                        label[np.isin(label, met)] = met[0]
+            least = np.full(len(d), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, d)
+            for column, v in zip(out, (d, least[label], links)):
+                column.extend(v.tolist())
+            if len(out[0]) > 100_000:
+                yield batch()
+        if out[0]:
+            yield batch()
 
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+    return families.mapInArrow(run, "d bigint, to bigint, links bigint")
 
 
-#: So many ids, of 8 bytes, are sent to all tasks to pick documents; more are joined by a shuffle.
-_SENT_IDS = 1_000_000
+#: So many ids, of 32 bytes, are sent to all tasks to pick documents; more are joined by a shuffle.
+_SENT_IDS = 250_000
 
 
 def _row_hash(docs: DataFrame, id_col: str, text_col: str):
@@ -377,86 +387,85 @@ def _row_hash(docs: DataFrame, id_col: str, text_col: str):
 
 
 def _linked(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, small: int = 8, max_group: int = 2048
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, x, n, d), classes (d, head, comp) and verified links (a, b).
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, max_group: int = 4096, budget: int = 2_000_000
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, x, n, digest) and classes (d, digest, w, head, comp, links).
 
-    head is the first row of a class: (none, doc_id, x), so that null doc_ids come last.
+    head is the first row of a class: (none, doc_id, x), so that null doc_ids come last. links counts documents.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_of(docs, text_col).alias("text"), _row_hash(docs, id_col, text_col).alias("x"))
-    sets = scratch.save(_sets(rows, width), "sets")
+    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), _row_hash(docs, id_col, text_col).alias("x"), text_of(docs, text_col).alias("text"))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    filed = _filed(rows.drop("x"), width, num, den).repartition(parts, "key").sortWithinPartitions("key", "d")
-    shared = scratch.save(_shared(filed, small), "shared")
+    found = scratch.save(_sets(rows, width, num, den).withColumn("row", F.monotonically_increasing_id()), "found")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x", "row")).alias("head")
+    classes = found.where("digest IS NOT NULL").groupBy("digest").agg(head, F.count(F.lit(1)).alias("w"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    filed = scratch.save(classes.select(F.col("head.row").alias("d"), "digest", "w", "n", "head", "keys"), "classes")
+    sets = scratch.save(found.drop("keys", "row"), "sets")
+    classes = filed.drop("keys")
+    scratch.drop("found")
     scratch.release()
 
-    large = shared.where("NOT pair").select(F.col("a").alias("key"), F.col("b").alias("d"), "least")
-    often = scratch.save(large.groupBy("d", "least").agg(F.count(F.lit(1)).alias("n")), "often")
-    pairs = shared.where("pair").groupBy("a", "b", "least").agg(F.count(F.lit(1)).alias("n"))
-    in_large = lambda x: often.select(F.col("d").alias(x), "least", F.col("n").alias(f"n_{x}"))
-    pairs = pairs.join(in_large("a"), ["a", "least"], "left").join(in_large("b"), ["b", "least"], "left")
-    enough = F.col("n") + F.least(F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0))) >= F.col("least")
-    pairs = scratch.save(pairs.where(enough).select("a", "b").distinct(), "pairs")
-    large = large.join(often.where("n >= least").select("d", "least"), ["d", "least"], "left_semi").select("key", "d")
-    groups = scratch.save(_groups(large.repartition(parts, "key").sortWithinPartitions("key", "d"), max_group), "groups0")
+    keyed = filed.select(F.explode("keys").alias("key"), "d").repartition(parts, "key").sortWithinPartitions("key")
+    met = scratch.save(_met(keyed).withColumn("least", F.col("key").bitwiseAND(F.lit(255))), "met")
+    scratch.release()
+    enough = met.groupBy("d", "least").agg(F.count(F.lit(1)).alias("n")).where("n >= least").select("d", "least")
+    met = met.join(enough, ["d", "least"], "left_semi").select("key", "d")
+    groups = scratch.save(_groups(met.repartition(parts, "key").sortWithinPartitions("key", "d"), max_group), "groups0")
     groups = scratch.save(groups.distinct(), "groups")
-    for done in ("shared", "groups0"):
+    for done in ("met", "groups0"):
         scratch.drop(done)
     scratch.release()
 
-    classes = sets.where("d IS NOT NULL").groupBy("d").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x")).alias("head"))
-    ends = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).unionByName(groups.select("d")).distinct()
-    wanted = scratch.save(classes.join(ends, "d").select("d", F.col("head.x").alias("x")), "wanted")
+    wanted = classes.join(groups.select("d").distinct(), "d").select("d", "digest", F.col("head.x").alias("x"))
+    wanted = scratch.save(wanted, "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= _SENT_IDS else wanted.hint("shuffle_hash")
-    texts = rows.join(wanted, "x").select("d", "text").dropDuplicates(["d"])
+    texts = rows.join(wanted, "x").select("d", "digest", "text")
 
-    def sketched(batches):
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sk = [], []
-            for t in _rows(b, 1):
-                s = shingles(t, width)
-                n.append(len(s))
-                sk.append(sketch(s))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(sk, pa.binary())], ["d", "text", "n", "sketch"])
+            sk, keep = [], []
+            for want, t in zip(b.column(1), b.column(2)):
+                s = shingles(t.as_py(), width)
+                keep.append(digest(s) == want.as_py())  # x is a hash of 64 bits
+                sk.append((len(s), sketch(s)))
+            columns = [b.column(0), b.column(2), pa.array([n for n, _ in sk], pa.int64()), pa.array([s for _, s in sk], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["d", "text", "n", "sketch"]).filter(pa.array(keep, pa.bool_()))
+
+    texts = scratch.save(texts.mapInArrow(sketched, "d bigint, text string, n bigint, sketch binary").dropDuplicates(["d"]), "texts")
+    scratch.release()
 
-    texts = scratch.save(texts.mapInArrow(sketched, "d bigint, text string, n bigint, sketch binary"), "texts")
+    members = groups.where("to < 0").select("g", "d").join(texts.select("d", "n", "sketch"), "d").select("g", "d", "n", "sketch")
+    edges = _forests(members.repartition(parts, "g").sortWithinPartitions("g"), num, den)
+    stars = groups.where("to >= 0").select(F.col("d").alias("u"), F.col("to").alias("v"))
+    edges = scratch.save(edges.unionByName(stars).distinct(), "edges")
     scratch.release()
-    slim, nodes = texts.select("d", "n", "sketch"), texts.select("d")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        both = pairs.join(texts.select(F.col("d").alias("a"), F.col("text").alias("text_a")), "a")
-        both = both.join(texts.select(F.col("d").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        return scratch.save(_verify(both, width, num, den), name)
-
-    def labelled(links: DataFrame, name: str) -> DataFrame:
-        labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, name)
-        comp = nodes.join(labels, nodes["d"] == labels["node"], "left").select("d", F.coalesce("component", "d").alias("comp"))
-        comp = scratch.save(comp, f"{name}comp")
-        scratch.release()
-        return comp
-
-    both = pairs.join(slim.select(F.col("d").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
-    both = both.join(slim.select(F.col("d").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
-    pairs = scratch.save(_within(both.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b"), num, den), "within")
-    links, tested = verified(pairs, "links"), pairs
-    comp = labelled(links, "cc-")
-    for i, nearest in enumerate((3, 24, None)):
-        members = groups.join(comp, "d")  # groups of one component have nothing left to compare
-        mixed = members.groupBy("g").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select("g")
-        members = members.join(mixed, "g", "left_semi").join(slim, "d").select("g", "d", "comp", "n", "sketch")
-        more = _pairs(members.repartition(parts, "g").sortWithinPartitions("g"), num, den, nearest).distinct()
-        more = scratch.save(more.join(tested, ["a", "b"], "left_anti"), f"pairs{i}")
-        if more.isEmpty():
-            if nearest is None:
-                break
-            continue
-        tested = tested.unionByName(more)
-        links = links.unionByName(verified(more, f"links{i}"))
-        comp = labelled(links, f"cc{i}-")
-    classes = classes.join(comp, "d", "left").select("d", "head", F.coalesce("comp", "d").alias("comp"))
-    return sets, classes, links
+    labels = components(edges, scratch, "cc")
+    families = labels.select(F.col("node").alias("d"), F.col("component").alias("comp")).join(classes.select("d", "n", "w"), "d")
+    families = scratch.save(families, "families")
+    scratch.release()
+    blocks = families.groupBy("comp").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"))
+    blocks = blocks.select("comp", F.greatest(F.lit(1), F.ceil(F.col("n") / budget), F.ceil(F.col("m") / (4 * max_group))).cast("int").alias("blocks"))
+    large = scratch.save(blocks.where("blocks > 1"), "large")
+    any_large = not large.isEmpty()
+    placed = families.join(texts.select("d", "text"), "d")
+    if any_large:
+        placed = placed.join(F.broadcast(large) if large.count() <= _SENT_IDS else large, "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        placed = placed.withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
+        placed = placed.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        placed = placed.withColumn("a", F.least("block", "_with")).withColumn("b", F.greatest("block", "_with"))
+    else:
+        placed = placed.withColumns({c: F.lit(0) for c in ("a", "b", "block")})
+    placed = placed.select("comp", "a", "b", "d", "block", "w", "text").repartition(parts, "comp", "a", "b").sortWithinPartitions("comp", "a", "b", "d")
+    linked = scratch.save(_linked_families(placed, width, num, den), "linked")
+    scratch.release()
+    labels = linked.select("d", F.col("to").alias("comp"))
+    if any_large:
+        labels = components(linked.select(F.col("d").alias("u"), F.col("to").alias("v")), scratch, "cl").select(F.col("node").alias("d"), F.col("component").alias("comp"))
+    degree = linked.groupBy("d").agg(F.sum("links").alias("links"))
+    classes = classes.join(labels.join(degree, "d"), "d", "left")
+    classes = classes.select("d", "digest", "w", "head", F.coalesce("comp", "d").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"))
+    return sets, scratch.save(classes, "labelled")
 
 
 #: The classes of a large component meet their head in so many tasks.
@@ -464,17 +473,16 @@ _SALTS = 16
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, n_verified (the links of its class that were verified on the way).
+    """Per document: doc_id, n_shingles, n_links (documents that it is linked with, its copies among them), component_id.
 
     component_id is the smallest doc_id of a component, and null if it has none.
     """
-    sets, classes, links = _linked(docs, id_col, text_col, **options)
+    sets, classes = _linked(docs, id_col, text_col, **options)
     heads = classes.groupBy("comp").agg(F.min("head")["doc_id"].alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    out = classes.withColumn("salt", F.pmod("d", F.lit(_SALTS)).cast("int")).join(heads, ["comp", "salt"]).select("d", "component_id")
-    degree = links.select(F.col("a").alias("d")).unionByName(links.select(F.col("b").alias("d"))).groupBy("d").agg(F.count(F.lit(1)).alias("n_verified"))
-    out = out.join(degree, "d", "left")
-    out = sets.join(out, "d", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_verified", F.lit(0).cast("bigint")).alias("n_verified"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = classes.withColumn("salt", F.pmod("d", F.lit(_SALTS)).cast("int")).join(heads, ["comp", "salt"]).select("digest", "component_id", "links")
+    out = sets.join(out, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0).cast("bigint")).alias("n_links"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -482,8 +490,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Texts without shingles have no links: one row of each doc_id stays, and of null doc_ids one of each text.
     """
-    sets, classes, _ = _linked(docs, id_col, text_col, **options)
+    sets, classes = _linked(docs, id_col, text_col, **options)
     heads = classes.groupBy("comp").agg(F.min("head")["x"].alias("__x")).select("__x")
-    bare = sets.where("d IS NULL").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("x"))).agg(F.min("x").alias("__x")).select("__x")
+    bare = sets.where("digest IS NULL").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("x"))).agg(F.min("x").alias("__x")).select("__x")
     rows = docs.select("*", _row_hash(docs, id_col, text_col).alias("__x"))
     return rows.join(heads.unionByName(bare), "__x", "left_semi").dropDuplicates(["__x"]).select(*[docs[c] for c in docs.columns])
