@@ -5,13 +5,15 @@ import struct
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from veilspan.config import Coding, Config, Rotation, Search, load
+from veilspan.config import Coding, Config, Evaluation, Rotation, Search, load
 from veilspan.functions import vectors as vx
-from veilspan.operators import coding, crypto, index, knn, refine, routing, store
+from veilspan.operators import coding, crypto, evaluate, index, keys, knn, refine, routing, store
 from veilspan.operators import ranking
 from veilspan.operators.keys import KeyService
+from veilspan.plans import cache
 from veilspan.plans import search as plans
 from veilspan.sources import reports, vecs
 from veilspan.streaming import ingest
@@ -246,3 +248,187 @@ def test_empty_tables(spark):
     q = spark.createDataFrame([], "q_id bigint, embedding array<double>")
     assert knn.exact_knn(q, empty, 3).count() == 0
     assert store.Store(spark, "/tmp/none-such-store").read().count() == 0
+
+
+def test_block_search_by_tree_equals_the_plain_one(spark):
+    """Duplicate keys over several blocks, gaps, and queries below and above all blocks."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for t in range(2):
+        keys = np.sort(rng.integers(10, 400, 300) // 7 * 7)
+        rows += [(t, 0, i, int(k.min()), int(k.max())) for i, k in enumerate(np.array_split(keys, 75))]
+    parts = spark.createDataFrame(rows, "table int, division int, part_idx bigint, min_key bigint, max_key bigint")
+    asked = spark.createDataFrame([(q, t, 0, q) for q in range(0, 420) for t in range(2)], "q_id bigint, table int, division int, key bigint")
+    plain = sorted(map(tuple, routing.nearest_blocks(asked, parts).collect()))
+    for fan in (3, 16):
+        assert sorted(map(tuple, routing.nearest_blocks(asked, parts, fan).collect())) == plain
+
+
+def test_exact_neighbours_in_groups_with_ties(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 3, (200, 3)).astype(float)
+    v = frame(spark, x)
+    q = v.where("vec_id % 9 = 0").withColumnRenamed("vec_id", "q_id")
+    got = {}
+    for r in knn.exact_knn(q, v, 5, group_bytes=24 * 30).collect():
+        got.setdefault(r["q_id"], {})[r["rank"]] = r["vec_id"]
+    for i in range(0, 200, 9):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1)).round(9)
+        want = [int(j) for j in np.lexsort((np.arange(200), d)) if j != i][:5]
+        assert [got[i][k] for k in range(1, 6)] == want
+    assert knn.exact_knn(q.limit(0), v, 5).count() == 0 and knn.exact_knn(q, v.limit(0), 5).count() == 0
+
+
+def test_single_records_slices_and_batches(spark, tmp_path):
+    path, dim = str(tmp_path / "b.fvecs"), 3
+    x = np.arange(30, dtype="<f4").reshape(10, dim)
+    with open(path, "wb") as f:
+        for row in x:
+            f.write(struct.pack("<i", dim) + row.tobytes())
+    assert vecs.record_count(path) == 10
+    got = {r["ordinal"]: r["embedding"] for r in vecs.read_at(spark.createDataFrame([(0,), (7,), (10,), (-1,)], "ordinal bigint"), path).collect()}
+    assert got == {0: [0.0, 1.0, 2.0], 7: [21.0, 22.0, 23.0], 10: None, -1: None}
+    assert vecs.slice_records(path, str(tmp_path / "few.fvecs"), 4) == 4 and vecs.read_vecs(spark, str(tmp_path / "few.fvecs")).count() == 4
+    assert [len(b) for b in vecs.batches(spark.range(25), 10)] == [10, 10, 5] and list(vecs.batches(spark.range(0), 10)) == []
+
+
+def test_load_queries_falls_back_limits_and_refuses_empty_files(spark, tmp_path):
+    raw, empty = tmp_path / "q.raw", tmp_path / "e.fvecs"
+    raw.write_bytes(b"".join(struct.pack("<i2f", 2, i, i) for i in range(6)))
+    empty.write_bytes(b"")
+    assert vecs.load_queries(spark, str(raw)).count() == 6
+    assert [r["q_id"] for r in vecs.load_queries(spark, str(raw), 2).orderBy("q_id").collect()] == [0, 1]
+    with pytest.raises(ValueError):
+        vecs.load_queries(spark, str(empty))
+
+
+def test_truth_text_with_a_bad_token_is_an_error(spark, tmp_path):
+    path = tmp_path / "gt.csv"
+    path.write_text("# ids\n3,2,1\n\n1,x,2\n")
+    with pytest.raises(PySparkException):
+        vecs.read_truth(spark, str(path)).collect()
+    path.write_text("3,2,1\n0,1,2\n")
+    assert sorted(map(tuple, vecs.read_truth(spark, str(path)).collect()))[:3] == [(0, 1, 3), (0, 2, 2), (0, 3, 1)]
+
+
+def test_tokens_are_checked(spark):
+    v = cluster(spark, 128)
+    q = v.where("vec_id = 0").withColumnRenamed("vec_id", "q_id")
+    built = index.build(v, Coding(m=4, lam=2, divisions=1, tables=1, min_sample=1))
+    assert plans.query_tokens(q, built, 3).first()["top_k"] == 3
+    for bad in (lambda: plans.query_tokens(q, None, 3), lambda: plans.query_tokens(q, built, 0)):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(PySparkException):
+        plans.query_tokens(q.withColumn("embedding", F.slice("embedding", 1, 3)), built, 3).collect()
+    assert plans.adaptive_probes(Search(probes=3), 2.5, 6) == 6 and plans.adaptive_probes(Search(probes=3), 0.1, 6) == 3
+
+
+def test_results_are_cached_by_code_version_and_k(spark):
+    v = cluster(spark, 128)
+    q = v.where("vec_id < 3").withColumnRenamed("vec_id", "q_id")
+    built = index.build(v, Coding(m=4, lam=2, divisions=1, tables=1, min_sample=1))
+    now = [0.0]
+    held, ran = cache.ResultCache(ttl=10, most=2, clock=lambda: now[0]), []
+
+    def search():
+        ran.append(1)
+        return plans.search(q, built, CFG, 2, vectors=v)[0]
+
+    for version, k in ((1, 2), (1, 2), (2, 2), (1, 2)):
+        assert held.get(q, built, version, k, search).count() == 6
+    assert len(ran) == 2 and held.hits == 2
+    now[0] = 11.0
+    held.get(q, built, 1, 2, search)
+    assert len(ran) == 3 and len(held.held) == 1
+
+
+def test_checks_of_truth_and_hits(spark):
+    truth = spark.createDataFrame([(i, 1, i) for i in range(10)], "q_id bigint, rank int, vec_id bigint")
+    near = spark.createDataFrame([(i, i if i < 8 else 99) for i in range(10)], "q_id bigint, vec_id bigint")
+    assert evaluate.check_truth(truth, near, 8, 0.0) == 0.0 and evaluate.check_truth(truth, near, 10, 0.2) == 0.2
+    with pytest.raises(ValueError):
+        evaluate.check_truth(truth, near, 10, 0.1)
+    hits = spark.createDataFrame([(i, 0 if i else 1) for i in range(10)], "q_id bigint, hits bigint")
+    with pytest.raises(ValueError):
+        evaluate.check_zero_hits(hits)
+    assert evaluate.check_zero_hits(hits.limit(3)) > 0.5
+
+
+def test_decoys_jitter_and_uniform_ones(spark):
+    q = frame(spark, np.eye(4)).withColumnRenamed("vec_id", "q_id")
+    assert {vecs.decoy_count(100, 0.5, 0.1, s) for s in range(40)} <= set(range(45, 56)) and vecs.decoy_count(100, -1) == 0
+    out = vecs.decoys(q, 2.0, 4, seed=3, uniform=True)
+    norm = out.select(F.round(vx.norm(F.col("embedding")), 9).alias("n")).distinct().collect()
+    assert out.where("is_decoy").count() == 8 and [r["n"] for r in norm] == [1.0]
+
+
+def test_maintenance_reports_history_and_full_rotation(spark, tmp_path):
+    v = cluster(spark, 60)
+    held, service = store.Store(spark, str(tmp_path / "s")), KeyService(policy=Rotation(max_operations=50))
+    held.insert(v, service.table(spark), 1)
+    held.note_storage("before")
+    service.count(60)
+    assert service.rotate_if_needed() and service.current == 2 and not service.rotate_if_needed()
+    report = plans.rotate_full(held, service)
+    assert report["reencrypted"] == 60 and report["target"] == 3 and report["bytes_delta"] == 0 and report["bytes_after"] == 60 * (12 + 64 + 16)
+    assert held.latest_version() == held.index_version() == 3 and keys.safe_to_delete(store.key_usage(held.read()), 1)
+    held.note_storage("after")
+    assert [(r["label"], r["key_version"], r["n"]) for r in held.storage_history().collect()] == [("before", 1, 60), ("after", 3, 60)]
+    assert held.files().agg(F.sum("bytes")).first()[0] > report["bytes_after"] and set(plans.migrate_now().values()) == {0}
+    row = reports.reencrypt_row(spark, report, 60).first()
+    assert row["Mode"] == "end" and row["BytesAfter"] == report["bytes_after"] and row["TargetVersion"] == 3
+    built = plans.rebuild_index(held, service, 3, Config(Coding(m=4, lam=2, divisions=1, tables=1, min_sample=1)))
+    assert built.membership.count() == 60
+    built.write(str(tmp_path / "index"))
+    again, records = plans.query_only(spark, str(tmp_path / "index"), str(tmp_path / "s"), 2)
+    q = v.where("vec_id = 5").withColumnRenamed("vec_id", "q_id")
+    best = plans.evaluate_one(q, again, CFG, 2, records=records.read(), key_table=service.table(spark))
+    assert best[0][0] == 5 and plans.evaluate_batch(q, again, CFG, 2, vectors=v).first()["ids"][0] == 5
+    assert store.sharded(held.read(), 4).select("shard_id").distinct().count() <= 4
+
+
+def test_listener_wiping_and_opening_without_data(spark):
+    listener, ring = Observation(), crypto.key_table(spark, {1: bytes(range(32))})
+    sealed = crypto.encrypt_queries(cluster(spark, 20).withColumnRenamed("vec_id", "q_id"), ring, 1)
+    rows = crypto.observed(sealed, listener).collect()
+    assert listener.get["encrypted"] == len(rows) == 20
+    held = spark.createDataFrame(rows, sealed.schema).withColumnRenamed("enc_query", "ct")
+    assert crypto.open_without_data(held, bytes(range(32))).where("embedding IS NOT NULL").count() == 20
+    assert crypto.open_without_data(held, bytes(32)).where("embedding IS NOT NULL").count() == 0
+    key = bytearray(b"abc")
+    keys.wipe(key)
+    assert key == bytes(3)
+
+
+def test_null_helpers_and_ids(spark):
+    rows = spark.createDataFrame([(None, 0.0, "12"), (float("nan"), 2.0, "0"), (-3.0, None, "7")], "a double, b double, t string")
+    got = rows.select(vx.nz(F.col("a")), vx.coalesce_nonzero(F.col("a"), F.col("b")), vx.non_negative(F.col("a")), vx.parse_id(F.col("t"))).collect()
+    assert [r[0] for r in got] == [0.0, 0.0, -3.0] and got[0][1] == 0 and got[2][2] == 0 and [r[3] for r in got] == [12, 0, 7]
+    for bad in ("-1", "x", "", "99999999999"):
+        with pytest.raises(PySparkException):
+            spark.createDataFrame([(bad,)], "t string").select(vx.parse_id(F.col("t"))).collect()
+
+
+def test_reports_have_their_columns_and_append(spark, tmp_path):
+    ks = Config().evaluation.k_variants
+    columns = reports.summary_columns(ks)
+    assert len(columns) == 39 and columns[26] == "recall_at_100" and len(reports.TOP_K) == 31 and len(reports.accuracy_columns(ks)) == 28 and len(reports.cost_columns()) == 18
+    v = cluster(spark, 200)
+    q = v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "q_id")
+    config = Config(Coding(m=4, lam=2, divisions=2, tables=2, min_sample=1), Search(probes=4), Evaluation(k_variants=(1, 5)))
+    rows = plans.run_queries(q, index.build(v, config.coding), config, knn.exact_knn(q, v, 5), vectors=v)
+    report = reports.run_report(rows, {"dataset": "d", "profile": "p", "index_time_ms": 3}, config)
+    for _ in range(2):
+        reports.append_run(report, str(tmp_path / "out"), (1, 5))
+    back = spark.read.option("header", True).csv(str(tmp_path / "out" / "summary"))
+    assert back.columns == reports.summary_columns((1, 5)) and back.count() == 2 and float(back.first()["avg_art_ms"]) > 0
+    assert reports.top_k_rows(rows, 200).columns == reports.TOP_K and rows.where("server_ms > 0 AND q_index >= 0").count() == 8
+
+
+def test_hard_cap_holds_unless_it_is_turned_off(spark):
+    v = cluster(spark, 1024)
+    q = v.where("vec_id = 0").withColumnRenamed("vec_id", "q_id")
+    built = index.build(v, Coding(m=4, lam=2, divisions=2, tables=2, min_sample=1))
+    n = {cap: plans.route(q, built, Search(refinement_limit=10, max_candidates=100, cap=cap), 4).count() for cap in (None, 0)}
+    assert 100 <= n[None] < 164 < n[0]

@@ -28,10 +28,10 @@ class Coding:
 
 @dataclass(frozen=True)
 class Search:
-    """Query limits. cap 0 turns the global candidate cap off; threshold 0 the Hamming threshold."""
+    """Query limits. cap None stands for hard_cap, 0 turns the candidate cap off; threshold 0 the Hamming threshold."""
 
     refinement_limit: int = 20000
-    cap: int = 0
+    cap: int | None = None
     max_candidates: int = 20000
     probes: int = 5
     retry_probes: int = 10

@@ -62,6 +62,26 @@ def clamp(x: Column, low, high) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def nz(x: Column) -> Column:
+    """0 for null and not finite values."""
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x)
+
+
+def coalesce_nonzero(*xs: Column) -> Column:
+    """The first value that is neither null nor 0, else 0."""
+    return F.coalesce(*[F.when(x != 0, x) for x in xs], F.lit(0))
+
+
+def non_negative(x: Column) -> Column:
+    return F.greatest(F.coalesce(x, F.lit(0)), F.lit(0))
+
+
+def parse_id(text: Column) -> Column:
+    """A string as an id of 0 or more; anything else is an error."""
+    number = F.when(text.rlike("^[0-9]+$"), text.try_cast("int"))
+    return F.coalesce(number, F.raise_error(F.concat(F.lit("not an id: "), F.coalesce(text, F.lit("null")))).cast("int"))
+
+
 def fold31(hashes: Column) -> Column:
     """31 h + x over the hashes with 32-bit wrap-around, as a signed int."""
     span = 1 << 32

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.config import Coding
+from veilspan.functions.vectors import fold31
 
 WORD = 63
 
@@ -167,3 +168,8 @@ def hash_tables(vectors: DataFrame, g: GFunctions) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), each)), pa.array((place // d_n).astype(np.int32)), pa.array((place % d_n).astype(np.int32)), lists], ["vec_id", "table", "division", "hashes"])
 
     return vectors.select("vec_id", F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id bigint, table int, division int, hashes array<bigint>")
+
+
+def table_hashes(vectors: DataFrame, g: GFunctions) -> DataFrame:
+    """vec_id, table, division, hash: the m hashes of a division folded to one 32-bit int, 31 h + x."""
+    return hash_tables(vectors, g).select("vec_id", "table", "division", fold31(F.col("hashes")).alias("hash"))

@@ -12,7 +12,7 @@ import os
 import secrets
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.functions.vectors import is_finite, pack, unpack
@@ -36,6 +36,7 @@ def fresh_iv(any_col: Column) -> Column:
     return F.pandas_udf(_fresh, "binary").asNondeterministic()(any_col)
 
 
+#: The labels inside the associated data.
 def associated(vec_id: Column, version: Column, dim: Column) -> Column:
     return F.concat(F.lit("id:"), vec_id.cast("string"), F.lit("|v:"), version.cast("string"), F.lit("|d:"), dim.cast("string")).cast("binary")
 
@@ -73,3 +74,15 @@ def encrypt_queries(queries: DataFrame, keys: DataFrame, version: int) -> DataFr
 def decrypt_queries(tokens: DataFrame, keys: DataFrame) -> DataFrame:
     rows = tokens.join(F.broadcast(keys), "key_version", "left")
     return rows.withColumn("embedding", unpack(F.try_aes_decrypt(F.concat("iv", "enc_query"), F.col("key"), F.lit("GCM")))).drop("key")
+
+
+def open_without_data(rows: DataFrame, key: bytes) -> DataFrame:
+    """iv, ct opened by one key and without associated data: adds embedding, null where that fails."""
+    one = rows.sparkSession.createDataFrame([(bytearray(key),)], "key binary")
+    opened = F.try_aes_decrypt(F.concat("iv", "ct"), F.col("key"), F.lit("GCM"))
+    return rows.join(F.broadcast(one), F.lit(True)).withColumn("embedding", unpack(opened)).drop("key")  # one key
+
+
+def observed(rows: DataFrame, listener: Observation) -> DataFrame:
+    """The rows, whose number an action reports to the listener as ``encrypted``: no callback runs in a task."""
+    return rows.observe(listener, F.count(F.lit(1)).alias("encrypted"))

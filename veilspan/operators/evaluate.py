@@ -55,6 +55,35 @@ def gt_mismatch(truth: DataFrame, nearest: DataFrame) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("gt") != F.col("nn")).cast("int")).alias("mismatch_rate"))
 
 
+def check_truth(truth: DataFrame, nearest: DataFrame, sample: int, tolerance: float) -> float:
+    """The mismatch rate of the first ``sample`` queries; an error if it is above the tolerance."""
+    first = truth.select("q_id").distinct().orderBy("q_id").limit(sample)
+    rate = gt_mismatch(truth.join(first, "q_id", "left_semi"), nearest).first()["mismatch_rate"] or 0.0
+    if rate > tolerance:
+        raise ValueError(f"{rate:.4f} of the ground truth is wrong, more than {tolerance}")
+    return rate
+
+
+def check_zero_hits(hits: DataFrame, most: float = 0.8, after: int = 5) -> float:
+    """The share of queries without a hit; an error if it is above ``most`` with more than ``after`` queries."""
+    row = zero_hit_rate(hits).first()
+    if row["queries"] > after and row["zero_rate"] > most:
+        raise ValueError(f"{row['zero']} of {row['queries']} queries found no true neighbour")
+    return row["zero_rate"]
+
+
+def mean_run_time(rows: DataFrame) -> DataFrame:
+    """One row: art_ms, the mean run_ms over rows with run_ms > 0, null without any."""
+    return rows.agg(F.avg(F.when(F.col("run_ms") > 0, F.col("run_ms"))).alias("art_ms"))
+
+
+def meter_summary(rows: DataFrame, name: str, value: str) -> DataFrame:
+    """name, count, total_ms, mean_ms, max_ms of a meter's records; a meter without values counts 0."""
+    return rows.groupBy(F.col(name).alias("name")).agg(
+        F.count(value).alias("count"), F.coalesce(F.sum(value), F.lit(0.0)).alias("total_ms"), F.coalesce(F.avg(value), F.lit(0.0)).alias("mean_ms"), F.coalesce(F.max(value), F.lit(0.0)).alias("max_ms")
+    )
+
+
 def gt_in_bounds(truth: DataFrame, n: int) -> DataFrame:
     return truth.agg(F.min("vec_id").alias("min_id"), F.max("vec_id").alias("max_id")).withColumn("ok", (F.col("min_id") >= 0) & (F.col("max_id") < n))
 

@@ -41,6 +41,10 @@ class KeyService:
     def table(self, spark: SparkSession) -> DataFrame:
         return crypto.key_table(spark, {v: self.key(v) for v in self.versions})
 
+    def count(self, n: int) -> None:
+        """Adds to the encryptions made with the current key, by which the policy may ask for a new one."""
+        self.operations += n
+
     def rotate(self) -> int:
         version = max(self.versions) + 1
         self.versions[version] = self.clock()
@@ -88,3 +92,13 @@ class KeyService:
             part.write_text(json.dumps({"master": base64.b64encode(self.master).decode(), "versions": self.versions}))
             os.chmod(part, 0o600)
             part.replace(self.path)
+
+
+def wipe(key: bytearray) -> None:
+    """Overwrites this copy of a key; other copies, which Python and the JVM may hold, stay."""
+    key[:] = bytes(len(key))
+
+
+def safe_to_delete(usage: DataFrame, version: int) -> bool:
+    """Whether no record is on a version; usage: key_version, n."""
+    return usage.where((usage["key_version"] == version) & (usage["n"] > 0)).isEmpty()

@@ -2,44 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyspark.sql.types as T
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.scratch import Scratch
 
 #: A group of so many rows may be numbered by a window.
-WINDOW_ROWS = 2_000_000
+WINDOW_ROWS = 200_000
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, rows_per_group: int) -> DataFrame:
-    """Adds name: 0-based position inside the group. Groups and orders must be fixed-width columns."""
+    """Adds name: 0-based position inside the group."""
     if rows_per_group <= WINDOW_ROWS:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).cast("bigint"))
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows_per_group // WINDOW_ROWS)
-    ranged = df.repartitionByRange(parts, *group, *order).sortWithinPartitions(*group, *order)
-    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType())])
-    keys = [df.columns.index(c) for c in group]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, at = TaskContext.get().partitionId(), None, 0
-        for b in batches:
-            g = list(zip(*(b.column(i).to_pylist() for i in keys))) if keys else [()] * b.num_rows
-            out = np.empty(b.num_rows, np.int64)
-            for i, x in enumerate(g):
-                at, last = (at + 1, x) if x == last else (0, x)
-                out[i] = at
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(out)], [*b.schema.names, "_part", "_at"])
-
-    held = Scratch(spark, "ranked").save(ranged.mapInArrow(run, schema), "rows")
-    counts = held.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows_per_group // WINDOW_ROWS)
+    return _dense(df.repartitionByRange(parts, *group, *order).sortWithinPartitions(*group, *order), group, name)
+
+
+def in_order(df: DataFrame, name: str) -> DataFrame:
+    """Adds name: 0-based position in the order of the source's partitions and rows."""
+    return _dense(df, [], name)
+
+
+def _dense(df: DataFrame, group: Sequence[str], name: str) -> DataFrame:
+    """Positions from a row's place in its partition and the numbers of rows in the partitions before.
+
+    Rows are written once with their places, as these don't outlive a rerun; there are as many counts as partitions
+    times the groups that each of them holds a part of.
+    """
+    held = Scratch(df.sparkSession, "ranked").save(df.withColumn("_mid", F.monotonically_increasing_id()), "rows")
+    part = F.shiftright("_mid", 33)
+    counts = held.groupBy(*group, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
-    # As many rows as partitions times groups at most.
-    return held.join(F.broadcast(counts), [*group, "_part"]).withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    both = held.withColumn("_part", part).join(F.broadcast(counts), [*group, "_part"])
+    return both.withColumn(name, (F.col("_mid") - F.col("_first") + F.col("_before")).cast("bigint")).drop("_part", "_mid", "_first", "_before")

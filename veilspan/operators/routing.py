@@ -10,17 +10,58 @@ from veilspan.functions.vectors import hamming
 _TD = ["table", "division"]
 
 
-def nearest_blocks(tokens: DataFrame, partitions: DataFrame) -> DataFrame:
+#: Children of a node in the search for a block; a query meets so many rows of one order at once.
+FAN = 1024
+
+
+def _first_reaching(asked: DataFrame, nodes: DataFrame, n_blocks: int, fan: int) -> DataFrame:
+    """q_id, table, division, x, at: the first block whose largest key is x or more.
+
+    A tree over the blocks, which are sorted by key: each level holds the largest key of ``fan`` nodes below, and a
+    query goes down one level a step, so it meets ``fan`` rows a level however many blocks there are.
+    """
+    height = 1
+    while fan**height < n_blocks:
+        height += 1
+    found = asked.withColumn("at", F.lit(0).cast("bigint"))
+    for level in range(height - 1, -1, -1):
+        step = fan**level
+        own = nodes.groupBy(*_TD, F.floor(F.col("part_idx") / step).alias("node")).agg(F.max("max_key").alias("reach"))
+        own = own.withColumn("at", F.floor(F.col("node") / fan))
+        down = found.join(own, [*_TD, "at"]).where("reach >= x")
+        found = down.groupBy("q_id", *_TD, "x").agg(F.min("node").alias("at"))
+    return found
+
+
+def nearest_blocks(tokens: DataFrame, partitions: DataFrame, fan: int = FAN) -> DataFrame:
     """q_id, table, division, center: the block whose key range holds or is nearest to the query's key.
 
-    Of equally near ranges the one with the lower index wins. Blocks combine to one row a query on the map
-    side; the tokens are a stated query set, blocks of which the caller keeps small enough to send along.
+    Of equally near ranges the one with the lower index wins. The blocks of an order are sorted by key, so the
+    first that reaches the key and the one before it are all that can win. No more than ``fan`` blocks for a query are
+    compared at once: with more blocks in an order they are searched as a tree.
     """
-    at = F.greatest(F.col("min_key") - F.col("q_key"), F.col("q_key") - F.col("max_key"), F.lit(0).cast("bigint"))
-    asked = tokens.select("q_id", *_TD, F.col("key").alias("q_key"))
-    both = partitions.select(*_TD, "part_idx", "min_key", "max_key").join(asked, _TD).withColumn("range_dist", at)
-    best = both.groupBy("q_id", *_TD).agg(F.min(F.struct("range_dist", "part_idx")).alias("b"))
-    return best.select("q_id", *_TD, F.col("b.part_idx").alias("center"), F.col("b.range_dist").alias("range_dist"))
+    asked = tokens.select("q_id", *_TD, F.col("key").alias("x"))
+    slim = partitions.select(*_TD, "part_idx", "min_key", "max_key")
+    ends = slim.groupBy(*_TD).agg(F.max("part_idx").alias("last"))
+    n_blocks = (ends.agg(F.max("last")).first()[0] or 0) + 1
+    if n_blocks <= fan:
+        both = slim.join(asked, _TD)
+        far = F.greatest(F.col("min_key") - F.col("x"), F.col("x") - F.col("max_key"), F.lit(0).cast("bigint"))
+        best = both.groupBy("q_id", *_TD).agg(F.min(F.struct(far.alias("range_dist"), "part_idx")).alias("b"))
+        return best.select("q_id", *_TD, F.col("b.part_idx").alias("center"), F.col("b.range_dist").alias("range_dist"))
+    top = F.lit(2**63 - 1)
+    wall = ends.select(*_TD, (F.col("last") + 1).alias("part_idx"), F.lit(None).cast("bigint").alias("min_key"), top.alias("max_key"))
+    nodes = slim.unionByName(wall)  # one block beyond the last, which reaches every key
+    first = slim.groupBy(*_TD, "max_key").agg(F.min("part_idx").alias("before"))
+    before = slim.select(*_TD, (F.col("part_idx") + 1).alias("part_idx"), "max_key").join(first, [*_TD, "max_key"])
+    sides = nodes.select(*_TD, F.col("part_idx").alias("at"), "min_key").join(before.select(*_TD, F.col("part_idx").alias("at"), F.col("max_key").alias("low_key"), "before"), [*_TD, "at"], "left")
+    found = _first_reaching(asked, nodes, n_blocks + 1, fan).join(sides, [*_TD, "at"])
+    up = F.when(F.col("min_key").isNotNull(), F.greatest(F.col("min_key") - F.col("x"), F.lit(0).cast("bigint")))
+    down = F.col("x") - F.col("low_key")
+    found = found.withColumn("up", up).withColumn("down", down)
+    lower = F.col("up").isNull() | (F.col("down") <= F.col("up")) & (F.col("up") > 0)
+    lower = F.coalesce(lower, F.lit(False))
+    return found.select("q_id", *_TD, F.when(lower, F.col("before")).otherwise(F.col("at")).alias("center"), F.when(lower, F.col("down")).otherwise(F.col("up")).alias("range_dist"))
 
 
 def probe_order(tokens: DataFrame, partitions: DataFrame, probes: int | str) -> DataFrame:

@@ -60,6 +60,33 @@ class Store:
     def change(self, how: Callable[[DataFrame], DataFrame]) -> None:
         self.commit(how(self.read()))
 
+    def latest_version(self) -> int | None:
+        """The highest key version that any record is on, from the folders' names."""
+        return self.read().agg(F.max("key_version")).first()[0]
+
+    def set_index_version(self, version: int) -> None:
+        self.spark.createDataFrame([("index", version)], "name string, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/index-version")
+
+    def index_version(self) -> int | None:
+        """The key version that the index was built on; None before the first build."""
+        fs, path, jvm = self._fs()
+        at = f"{self.path}/index-version"
+        row = self.spark.read.parquet(at).where("name = 'index'").first() if fs.exists(jvm.org.apache.hadoop.fs.Path(at)) else None
+        return row["version"] if row else None
+
+    def note_storage(self, label: str) -> None:
+        """Appends the sizes of now, by dimension and key version, to the store's history."""
+        now = storage(self.read()).select(F.lit(label).alias("label"), F.current_timestamp().alias("at"), "*")
+        now.coalesce(1).write.mode("append").parquet(f"{self.path}/history")
+
+    def storage_history(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/history").orderBy("at", "dim", "key_version")
+
+    def files(self) -> DataFrame:
+        """path, bytes of the files of the present snapshot."""
+        listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{self.path}/{self.snapshot()}")
+        return listed.select("path", F.col("length").alias("bytes"))
+
     def vacuum(self, keep: int = 0) -> int:
         """Removes superseded snapshots but the newest ``keep``; returns how many."""
         fs, path, jvm = self._fs()
@@ -94,6 +121,49 @@ def cleanup_stale(records: DataFrame, valid: DataFrame) -> DataFrame:
     return records.join(valid.select("vec_id").distinct(), "vec_id", "left_semi")
 
 
+def point(records: DataFrame, vec_id: int) -> DataFrame:
+    """The record of an id; no row if there is none."""
+    return records.where(F.col("vec_id") == vec_id)
+
+
+def ids(records: DataFrame) -> DataFrame:
+    return records.select("vec_id")
+
+
+def of_version(records: DataFrame, version: int) -> DataFrame:
+    """Records on one key version; the folders of others are not read."""
+    return records.where(F.col("key_version") == version)
+
+
+def missing(wanted: DataFrame, records: DataFrame) -> DataFrame:
+    """One row: how many of the wanted ids have no live record."""
+    live_ids = records.where(~F.col("deleted")).select("vec_id")
+    return wanted.select("vec_id").distinct().join(live_ids, "vec_id", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
+
+
+def sharded(records: DataFrame, shards: int) -> DataFrame:
+    """Records with their shard, by a hash of the id, dealt into as many partitions."""
+    return records.withColumn("shard_id", F.abs(F.hash("vec_id").cast("bigint") % shards).cast("int")).repartition(shards, "shard_id")
+
+
+def put(metadata: DataFrame, rows: DataFrame) -> DataFrame:
+    """metadata (vec_id, metadata map) with rows in place of those of the same id."""
+    return metadata.join(rows.select("vec_id"), "vec_id", "left_anti").unionByName(rows.select("vec_id", "metadata"))
+
+
+def merge(metadata: DataFrame, rows: DataFrame) -> DataFrame:
+    """The same, but keys that the new map doesn't have stay."""
+    new = rows.select("vec_id", F.col("metadata").alias("_new"))
+    both = metadata.join(new, "vec_id", "full_outer")
+    old = F.map_filter("metadata", lambda k, _: ~F.coalesce(F.map_contains_key("_new", k), F.lit(False)))
+    joined = F.when(F.col("_new").isNull(), F.col("metadata")).when(F.col("metadata").isNull(), F.col("_new")).otherwise(F.map_concat(old, "_new"))
+    return both.select("vec_id", joined.alias("metadata"))
+
+
+def remove(metadata: DataFrame, gone: DataFrame) -> DataFrame:
+    return metadata.join(gone.select("vec_id").distinct(), "vec_id", "left_anti")
+
+
 def key_usage(records: DataFrame) -> DataFrame:
     return records.groupBy("key_version").agg(F.count(F.lit(1)).alias("n"))
 

@@ -5,9 +5,6 @@ Queries are the stated set: every vector whose id is divisible by 50, against al
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -26,9 +23,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 DIM, K, KS = 64, 10, (1, 5, 10)
-CODING = Coding(m=8, lam=2, divisions=2, tables=2, seed=13, min_sample=1)
-CONFIG = Config(CODING, Search(refinement_limit=100, cap=0, max_candidates=150, probes=2, retry_probes=4), Evaluation(k_variants=KS))
-CAP, THRESHOLD = 150, 3
+CODING = Coding(m=8, lam=2, divisions=2, tables=4, seed=13, min_sample=1)
+#: Searches probe a fixed share of the blocks of every order and open all candidates, so recall holds at every size.
+SHARE = 4
+CAP, THRESHOLD, LIMIT = 150, 3, 100
 #: A fixed test key ring: answers don't depend on keys, so a literal master serves.
 MASTER = bytes(range(32))
 
@@ -58,9 +56,16 @@ def index_of(spark: SparkSession, sf_dir: str) -> index.Index:
     return index.Index.read(spark, path, CODING.lam)
 
 
+def config_of(built: index.Index) -> Config:
+    """Limits by the size of the index: a quarter of an order's blocks, and no cut of candidates."""
+    n = built.partitions.agg(F.coalesce(F.max("part_idx") + 1, F.lit(0))).first()[0]
+    probes = max(2, -(-n // SHARE))
+    return Config(CODING, Search(refinement_limit=2**31 - 1, cap=0, max_candidates=2**31 - 1, probes=probes, retry_probes=2 * probes), Evaluation(k_variants=KS))
+
+
 def seen_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     built, q = index_of(spark, sf_dir), queries_of(vectors_of(spark, sf_dir))
-    probed = routing.probe_order(plans.tokens(q, built, K), built.partitions, CONFIG.search.probes)
+    probed = routing.probe_order(plans.tokens(q, built, K), built.partitions, config_of(built).search.probes)
     return routing.sightings(probed, built.membership).where("vec_id <> q_id")
 
 
@@ -68,7 +73,7 @@ def opened_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     """(queries, vectors, opened candidates), kept for the queries that need them twice."""
     v = vectors_of(spark, sf_dir)
     q = queries_of(v)
-    budget = routing.prefiltered(routing.candidates(seen_of(spark, sf_dir)), CONFIG.search.refinement_limit)
+    budget = routing.candidates(seen_of(spark, sf_dir))
     return q, v, Scratch(spark, "opened").save(refine.distances(budget, q, v), "opened")
 
 
@@ -90,7 +95,7 @@ def _functions_sql() -> str:
     return "g(t, d, j, alpha, u) AS (VALUES " + ",\n".join(rows) + ")"
 
 
-M, P = CODING.m, CONFIG.search.probes
+M, P = CODING.m, "(SELECT p FROM lim)"
 _V = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS q_id, e FROM v WHERE vec_id % 50 = 0)"
 _TRUTH = f"""{_V},
     near_ AS (SELECT q_id, vec_id, round(list_distance(q.e, v.e), 9) AS distance FROM q, v WHERE vec_id <> q_id),
@@ -111,20 +116,28 @@ _NEAR = f"""{_PARTS},
     ctr AS (SELECT * FROM (SELECT q_id, tok.t, tok.d, key, part_idx AS center, greatest(min_key - key, key - max_key, 0) AS range_dist,
             row_number() OVER (PARTITION BY q_id, tok.t, tok.d ORDER BY greatest(min_key - key, key - max_key, 0), part_idx) AS rn
             FROM tok JOIN parts ON tok.t = parts.t AND tok.d = parts.d) WHERE rn = 1)"""
-_PROBE = f"""{_NEAR},
-    around AS (SELECT q_id, ctr.t, ctr.d, part_idx, sign(part_idx - center) AS side, abs(part_idx - center) AS dist, bit_count(xor(key, center_key))::BIGINT AS hamming
-            FROM ctr JOIN parts ON ctr.t = parts.t AND ctr.d = parts.d AND abs(part_idx - center) < {P}),
-    way AS (SELECT *, CASE WHEN side = 0 THEN -1 ELSE max(hamming) OVER (PARTITION BY q_id, t, d, side ORDER BY dist) END AS way FROM around),
-    probe AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id, t, d ORDER BY way, side, dist) AS probe_rank FROM way) WHERE probe_rank <= {P}),
-    seen AS (SELECT q_id, vec_id, hamming, probe.t, probe.d, probe_rank FROM probe JOIN placed ON probe.t = placed.t AND probe.d = placed.d AND probe.part_idx = placed.part_idx WHERE vec_id <> q_id)"""
+_LIM = f"lim AS (SELECT greatest(2, (max(part_idx) + {SHARE}) // {SHARE})::BIGINT AS p FROM parts)"
+
+
+def _probed(p: str, x: str = "") -> str:
+    """Probed blocks and what is seen in them, for p probes; x ends the names."""
+    return f"""
+    around{x} AS (SELECT q_id, ctr.t, ctr.d, part_idx, sign(part_idx - center) AS side, abs(part_idx - center) AS dist, bit_count(xor(key, center_key))::BIGINT AS hamming
+            FROM ctr JOIN parts ON ctr.t = parts.t AND ctr.d = parts.d AND abs(part_idx - center) < {p}),
+    way{x} AS (SELECT *, CASE WHEN side = 0 THEN -1 ELSE max(hamming) OVER (PARTITION BY q_id, t, d, side ORDER BY dist) END AS way FROM around{x}),
+    probe{x} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id, t, d ORDER BY way, side, dist) AS probe_rank FROM way{x}) WHERE probe_rank <= {p}),
+    seen{x} AS (SELECT q_id, vec_id, hamming, b.t, b.d, probe_rank FROM probe{x} b JOIN placed ON b.t = placed.t AND b.d = placed.d AND b.part_idx = placed.part_idx WHERE vec_id <> q_id),
+    cand{x} AS (SELECT q_id, vec_id, min(hamming) AS hamming FROM seen{x} GROUP BY q_id, vec_id)"""
+
+
+_PROBE = f"{_NEAR}, {_LIM}, {_probed(P)}"
 _CAND = f"""{_PROBE},
-    cand AS (SELECT q_id, vec_id, min(hamming) AS hamming FROM seen GROUP BY q_id, vec_id),
-    budget AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY hamming, vec_id) AS cand_rank FROM cand) WHERE cand_rank <= {CONFIG.search.refinement_limit})"""
+    budget AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY hamming, vec_id) AS cand_rank FROM cand) WHERE cand_rank <= {LIMIT})"""
 
 
 def _found(where: str = "TRUE") -> str:
     return f"""{_CAND},
-    opened AS (SELECT q_id, vec_id, hamming, list_distance(q.e, v.e) AS distance FROM budget JOIN q USING (q_id) JOIN v USING (vec_id) WHERE {where}),
+    opened AS (SELECT q_id, vec_id, hamming, list_distance(q.e, v.e) AS distance FROM cand JOIN q USING (q_id) JOIN v USING (vec_id) WHERE {where}),
     found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(distance, 9), hamming, vec_id) AS rank FROM opened) WHERE rank <= {K}),
     tr0 AS (SELECT q_id, vec_id, round(list_distance(q.e, v.e), 9) AS distance FROM q, v WHERE vec_id <> q_id),
     truth AS (SELECT * FROM (SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY distance, vec_id) AS rank, vec_id, distance FROM tr0) WHERE rank <= {K}),
@@ -158,11 +171,15 @@ def exact_nn(spark, sf_dir):
     return knn.exact_nn(queries_of(v), v).select("q_id", "vec_id", r6("distance"))
 
 
-@query(f"WITH {_TRUTH} SELECT count(*) AS n, 0.0::DOUBLE AS mismatch_rate FROM truth WHERE rank = 1")
+@query(f"""WITH {_TRUTH}, named AS (SELECT q_id, first(vec_id ORDER BY rank) FILTER (rank = CASE WHEN q_id % 100 = 0 THEN 2 ELSE 1 END) AS gt, first(vec_id ORDER BY rank) FILTER (rank = 1) AS nn FROM truth GROUP BY q_id)
+    SELECT count(*) AS n, avg((gt <> nn)::INTEGER) AS mismatch_rate FROM named""")
 def gt_validate(spark, sf_dir):
+    """Ground truth in which every second query names its second neighbour first, against the true nearest."""
     v = vectors_of(spark, sf_dir)
     q = queries_of(v)
-    return evaluate.gt_mismatch(knn.exact_knn(q, v, K), knn.exact_nn(q, v))
+    truth = Scratch(spark, "truth").save(knn.exact_knn(q, v, K), "t")
+    first = F.when(F.col("q_id") % 100 == 0, 2).otherwise(1)
+    return evaluate.gt_mismatch(truth.where(F.col("rank") == first).withColumn("rank", F.lit(1)), knn.exact_nn(q, v))
 
 
 @query(f"WITH {_TRUTH} SELECT min(vec_id) AS min_id, max(vec_id) AS max_id, min(vec_id) >= 0 AND max(vec_id) < (SELECT count(*) FROM v) AS ok FROM truth")
@@ -214,6 +231,13 @@ def block_reps(spark, sf_dir):
     return index_of(spark, sf_dir).partitions.select("table", "division", "part_idx", "n_ids", "min_key", "max_key", "center_key")
 
 
+@query(f"""WITH {_CODES} SELECT vec_id, t AS "table", d AS division, (((sum(h * (31::HUGEINT ** ({M} - 1 - j))::HUGEINT) + {31**CODING.m}::HUGEINT + {1 << 31}) % {1 << 32} + {1 << 32}) % {1 << 32} - {1 << 31})::INTEGER AS hash FROM hs GROUP BY vec_id, t, d""")
+def table_hashes(spark, sf_dir):
+    """The hashes of a division as one 32-bit int."""
+    v = vectors_of(spark, sf_dir)
+    return coding.table_hashes(v, coding.functions_from_sample(v, CODING))
+
+
 # Routing
 
 
@@ -226,7 +250,7 @@ def nearest_partition(spark, sf_dir):
 @query(f"WITH {_PROBE} SELECT q_id, t AS \"table\", d AS division, part_idx, hamming, probe_rank FROM probe")
 def probe_order(spark, sf_dir):
     built, v = index_of(spark, sf_dir), vectors_of(spark, sf_dir)
-    return routing.probe_order(plans.tokens(queries_of(v), built, K), built.partitions, P).withColumn("probe_rank", F.col("probe_rank").cast("bigint"))
+    return routing.probe_order(plans.tokens(queries_of(v), built, K), built.partitions, config_of(built).search.probes).withColumn("probe_rank", F.col("probe_rank").cast("bigint"))
 
 
 @query(f"WITH {_CAND} SELECT q_id, vec_id, hamming FROM cand")
@@ -251,7 +275,7 @@ def raw_seen(spark, sf_dir):
 
 @query(f"WITH {_CAND} SELECT q_id, vec_id, hamming, cand_rank, hamming <= {THRESHOLD} AS under FROM budget")
 def hamming_prefilter(spark, sf_dir):
-    out = routing.prefiltered(routing.candidates(seen_of(spark, sf_dir)), CONFIG.search.refinement_limit, THRESHOLD)
+    out = routing.prefiltered(routing.candidates(seen_of(spark, sf_dir)), LIMIT, THRESHOLD)
     return out.withColumn("cand_rank", F.col("cand_rank").cast("bigint"))
 
 
@@ -270,7 +294,7 @@ def refine_encrypted(spark, sf_dir):
     v = vectors_of(spark, sf_dir)
     records, ring = records_of(spark, sf_dir)
     q = queries_of(v)
-    budget = routing.prefiltered(routing.candidates(seen_of(spark, sf_dir)), CONFIG.search.refinement_limit)
+    budget = routing.candidates(seen_of(spark, sf_dir))
     opened = refine.encrypted_distances(budget, q, records, ring)
     return rank_int(refine.top_k(opened, K)).select("q_id", "rank", "vec_id", r6("distance"))
 
@@ -347,12 +371,100 @@ def set_intersect_ids(spark, sf_dir):
     return refine.top_k(opened, K).select("q_id", "vec_id").intersect(knn.exact_knn(q, v, K).select("q_id", "vec_id"))
 
 
-@query()
+def _retried(p: str, p2: str, factor: int) -> str:
+    """found of a search whose queries with too few results or opened candidates run again with p2 probes."""
+    dist = "SELECT q_id, vec_id, hamming, list_distance(q.e, v.e) AS distance FROM {} JOIN q USING (q_id) JOIN v USING (vec_id)"
+    return f"""{_NEAR}, {_LIM}, {_probed(p)}, {_probed(p2, "2")},
+    need AS (SELECT q_id FROM q LEFT JOIN (SELECT q_id, count(*) AS n FROM cand GROUP BY q_id) USING (q_id) WHERE coalesce(n, 0) < {factor * K}),
+    opened AS ({dist.format("cand")} WHERE q_id NOT IN (FROM need) UNION ALL {dist.format("cand2")} WHERE q_id IN (FROM need)),
+    found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(distance, 9), hamming, vec_id) AS rank FROM opened) WHERE rank <= {K})"""
+
+
+@query(f"WITH {_retried(P, '2 * ' + P, 10)} SELECT q_id, rank, vec_id, round(distance, 6) AS distance FROM found")
 def search_run(spark, sf_dir):
     """The whole search on plaintext, with retry and fallback."""
-    v = vectors_of(spark, sf_dir)
-    results, _ = plans.search(queries_of(v), index_of(spark, sf_dir), CONFIG, K, vectors=v)
-    return results
+    v, built = vectors_of(spark, sf_dir), index_of(spark, sf_dir)
+    results, _ = plans.search(queries_of(v), built, config_of(built), K, vectors=v, exclude_self=True)
+    return rank_int(results).select("q_id", "rank", "vec_id", r6("distance"))
+
+
+#: One probe an order, and a second run with three for queries that open fewer than 33 k, about half of them.
+RETRY = Search(refinement_limit=2**31 - 1, cap=0, max_candidates=2**31 - 1, probes=1, retry_probes=3, retry_factor=33)
+
+
+@query(f"WITH {_retried('1', '3', 33)} SELECT q_id, rank, vec_id, round(distance, 6) AS distance, (SELECT count(*) FROM need)::BIGINT AS retried FROM found")
+def search_retry(spark, sf_dir):
+    """A search with few probes, so that many queries run again."""
+    v, built = vectors_of(spark, sf_dir), index_of(spark, sf_dir)
+    config = Config(CODING, RETRY, Evaluation(k_variants=KS))
+    q = queries_of(v)
+    results, _ = plans.search(q, built, config, K, vectors=v, exclude_self=True)
+    first = plans.refine_once(q, built, RETRY, RETRY.probes, vectors=v, exclude_self=True)
+    again = refine.needs_retry(first, q, K, RETRY.retry_factor).agg(F.count(F.lit(1)).alias("retried"))
+    return rank_int(results).select("q_id", "rank", "vec_id", r6("distance")).join(F.broadcast(again), F.lit(True))
+
+
+def _run_rows(spark, sf_dir, limit: int | None = None) -> tuple[DataFrame, Config, int]:
+    v, built = vectors_of(spark, sf_dir), index_of(spark, sf_dir)
+    q, config, n = queries_of(v), config_of(built), v.count()
+    truth = Scratch(spark, "truth").save(knn.exact_knn(q, v, K), "t")
+    return plans.run_queries(q, built, config, truth, limit, vectors=v, exclude_self=True), config, n
+
+
+_ROWS = "SELECT m.q_id, m.k, recall, round(distance_ratio, 6) AS distance_ratio, candidate_ratio, k::BIGINT AS returned, n AS cand_total, n AS cand_decrypted FROM met m JOIN (SELECT q_id, count(*) AS n FROM opened GROUP BY q_id) USING (q_id)"
+
+
+@query(f"WITH {_found()} {_ROWS}")
+def run_queries(spark, sf_dir):
+    """A metric row for each query and k, without the times."""
+    rows = _run_rows(spark, sf_dir)[0].withColumn("returned", F.col("returned").cast("bigint"))
+    return rows.select("q_id", "k", "recall", r6("distance_ratio"), "candidate_ratio", "returned", "cand_total", "cand_decrypted")
+
+
+@query(f"WITH {_found()}, few AS (SELECT q_id FROM q ORDER BY q_id LIMIT 3) {_ROWS} SEMI JOIN few USING (q_id)")
+def limit_query(spark, sf_dir):
+    """The same for the first three queries."""
+    rows = _run_rows(spark, sf_dir, 3)[0].withColumn("returned", F.col("returned").cast("bigint"))
+    return rows.select("q_id", "k", "recall", r6("distance_ratio"), "candidate_ratio", "returned", "cand_total", "cand_decrypted")
+
+
+@query(f"""WITH {_found()}, o AS (SELECT q_id, count(*) AS n FROM opened GROUP BY q_id)
+    SELECT 'embeddings' AS dataset, round(avg(distance_ratio), 6) AS avg_distance_ratio, round(avg(candidate_ratio), 6) AS avg_candidate_expansion_factor, round(avg(recall), 6) AS avg_recall, round(avg(n), 6) AS avg_cand_total,
+           round(avg(m.k), 6) AS avg_returned, round(avg(recall) FILTER (k = 10), 6) AS recall_at_10 FROM met m JOIN o USING (q_id)""")
+def run_report(spark, sf_dir):
+    """The row of the summary file, without settings and times."""
+    rows, config, _ = _run_rows(spark, sf_dir)
+    out = reports.run_report(rows, {"dataset": "embeddings", "profile": "default", "index_time_ms": 0}, config)
+    names = ["avg_distance_ratio", "avg_candidate_expansion_factor", "avg_recall", "avg_cand_total", "avg_returned", "recall_at_10"]
+    return out.select("dataset", *[r6(c) for c in names])
+
+
+@query(f"""WITH {_found()}, o AS (SELECT q_id, count(*) AS n FROM opened GROUP BY q_id)
+    SELECT q_id AS "QueryID", k AS "TopK", round(recall, 6) AS "Precision", n AS "CandTotal", round(n / k, 6) AS "CF_req", round(n / k, 6) AS "CF_ret", round(n / (SELECT count(*) FROM v), 6) AS "SF" FROM met JOIN o USING (q_id)""")
+def top_k_report(spark, sf_dir):
+    """Rows of the top-k file, without settings and times."""
+    rows, _, n = _run_rows(spark, sf_dir)
+    return reports.top_k_rows(rows, n).select("QueryID", "TopK", r6("Precision"), "CandTotal", r6("CF_req"), r6("CF_ret"), r6("SF"))
+
+
+@query("SELECT avg(value) FILTER (value > 0) AS art_ms FROM events")
+def mean_run_time(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("value").alias("run_ms"))
+    return evaluate.mean_run_time(rows)
+
+
+@query("""SELECT event_type AS name, '[]' AS tags, count(value) AS count, round(coalesce(sum(value), 0), 4) AS "totalMs", round(coalesce(avg(value), 0), 4) AS "meanMs", coalesce(max(value), 0) AS "maxMs" FROM events GROUP BY event_type""")
+def meter_report(spark, sf_dir):
+    rows = reports.meter_rows(evaluate.meter_summary(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "value"))
+    return rows.withColumn("totalMs", F.round("totalMs", 4)).withColumn("meanMs", F.round("meanMs", 4))
+
+
+@query(f'WITH {_V} SELECT q_id, a.t::INTEGER AS "table", b.d::INTEGER AS division, 5::INTEGER AS top_k FROM q, range({CODING.tables}) a(t), range({CODING.divisions}) b(d)')
+def token_derive(spark, sf_dir):
+    """Tokens for k results made into tokens for five."""
+    built, v = index_of(spark, sf_dir), vectors_of(spark, sf_dir)
+    made = plans.query_tokens(queries_of(v), built, K)
+    return plans.derive_tokens(made, 5).select("q_id", "table", "division", "top_k")
 
 
 # Store, keys and maintenance
@@ -365,14 +477,13 @@ def key_usage(spark, sf_dir):
     return store.key_usage(records_of(spark, sf_dir)[0])
 
 
-@query("SELECT q_id, round(list_distance(e, e), 6) AS distance FROM (SELECT vec_id AS q_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0)")
+@query(f"WITH {_TRUTH} SELECT q_id, vec_id, round(distance, 6) AS distance FROM truth WHERE rank = 1")
 def query_tokens(spark, sf_dir):
-    """Queries encrypted and opened again: their distance to themselves."""
-    q = queries_of(vectors_of(spark, sf_dir))
+    """Queries encrypted, opened again, and then searched for exactly."""
+    v = vectors_of(spark, sf_dir)
     _, ring = records_of(spark, sf_dir)
-    opened = crypto.decrypt_queries(crypto.encrypt_queries(q, ring, 4), ring)
-    both = opened.select("q_id", F.col("embedding").alias("o")).join(q, "q_id")
-    return both.select("q_id", F.round(vx.l2(F.col("o"), vx.as_double("embedding")), 6).alias("distance"))
+    opened = crypto.decrypt_queries(crypto.encrypt_queries(queries_of(v), ring, 4), ring)
+    return knn.exact_nn(opened.select("q_id", "embedding"), v).select("q_id", "vec_id", r6("distance"))
 
 
 @query("SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS norm2 FROM embeddings")
@@ -406,11 +517,67 @@ def migrate_all(spark, sf_dir):
 
 @query(f"WITH {_STORE}, k AS (SELECT unnest([1, 2, 3, 4])::INTEGER AS key_version) SELECT key_version, key_version < 3 AND key_version NOT IN (SELECT key_version FROM s WHERE deleted) AS retire FROM k")
 def retire_eligibility(spark, sf_dir):
-    """After migration of all live records to version 4: keys below 3 that no record uses."""
+    """What the key service retires after migration of all live records to version 4."""
+    records, ring = records_of(spark, sf_dir)
+    service = keys.KeyService()
+    while service.current < 4:
+        service.rotate()
+    used = {r["key_version"] for r in store.key_usage(store.migrate(records, ring, 4)).collect()}  # a row for each key version
+    gone = service.retire(used)
+    return ring.select("key_version", F.col("key_version").isin(gone).alias("retire"))
+
+
+@query(f"WITH {_STORE} SELECT vec_id FROM s WHERE key_version = 2")
+def filter_version(spark, sf_dir):
+    return store.of_version(records_of(spark, sf_dir)[0], 2).select("vec_id")
+
+
+@query(f"WITH {_STORE} SELECT vec_id, key_version, deleted FROM s WHERE vec_id = 7")
+def scan_store_point(spark, sf_dir):
+    return store.point(records_of(spark, sf_dir)[0], 7).select("vec_id", "key_version", "deleted")
+
+
+@query("SELECT vec_id FROM embeddings")
+def scan_ids(spark, sf_dir):
+    return store.ids(records_of(spark, sf_dir)[0])
+
+
+@query(f"WITH {_STORE} SELECT max(key_version) AS newest, 3::INTEGER AS index_version FROM s")
+def detect_version(spark, sf_dir):
+    """The newest version in a store and the one that its index is on."""
+    held = store.Store(spark, Scratch(spark, "versions").root)
+    held.commit(records_of(spark, sf_dir)[0])
+    held.set_index_version(3)
+    return spark.createDataFrame([(held.latest_version(), held.index_version())], "newest int, index_version int")
+
+
+@query(f"WITH {_STORE} SELECT (SELECT count(*) FROM events) - count(*) AS missing FROM events JOIN s ON s.vec_id = event_id AND NOT deleted")
+def missing_records(spark, sf_dir):
+    wanted = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("vec_id"))
+    return store.missing(wanted, records_of(spark, sf_dir)[0])
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS a, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE 'kept' END AS b FROM embeddings WHERE vec_id % 4 <> 1")
+def metadata_changes(spark, sf_dir):
+    """Maps put whole (by 5), merged key by key (by 3) and removed (by 4)."""
+    v = vectors_of(spark, sf_dir).select("vec_id")
+    lit = lambda **kv: F.create_map(*[F.lit(x) for pair in kv.items() for x in pair]).alias("metadata")
+    rows = store.put(v.select("vec_id", lit(a="old", b="kept")), v.where("vec_id % 5 = 0").select("vec_id", lit(a="old")))
+    rows = store.remove(store.merge(rows, v.where("vec_id % 3 = 0").select("vec_id", lit(a="new"))), v.where("vec_id % 4 = 1"))
+    return rows.select("vec_id", F.try_element_at("metadata", F.lit("a")).alias("a"), F.try_element_at("metadata", F.lit("b")).alias("b"))
+
+
+@query(f"WITH {_PARTS.replace('FROM embeddings)', 'FROM embeddings WHERE vec_id % 3 = 1 AND vec_id % 7 <> 3)', 1)} SELECT t AS \"table\", d AS division, part_idx, vec_id FROM placed")
+def restore_index(spark, sf_dir):
+    """An index built again from the live records of key version 2."""
     records, ring = records_of(spark, sf_dir)
-    used = store.key_usage(store.migrate(records, ring, 4)).select("key_version", F.lit(True).alias("used"))
-    both = ring.select("key_version").join(used, "key_version", "left")
-    return both.select("key_version", ((F.col("key_version") < 3) & F.col("used").isNull()).alias("retire"))
+    held = store.Store(spark, Scratch(spark, "restore").root)
+    held.commit(records)
+    service = keys.KeyService()
+    service.master = MASTER
+    while service.current < 4:
+        service.rotate()
+    return plans.rebuild_index(held, service, 2, Config(CODING)).membership.select("table", "division", "part_idx", "vec_id")
 
 
 @query(f"WITH {_STORE} SELECT key_version, count(*) AS n FROM s WHERE NOT deleted AND key_version < 3 GROUP BY key_version")
@@ -532,7 +699,7 @@ def ivecs_roundtrip(spark, sf_dir):
     v = vectors_of(spark, sf_dir)
     truth = knn.exact_knn(queries_of(v), v, K)
     order = queries_of(v).select("q_id").orderBy("q_id")
-    path = os.path.join(tempfile.mkdtemp(prefix="veilspan-"), f"{uuid.uuid4().hex}.ivecs")
+    path = f"{Scratch(spark, 'ivecs').root}.ivecs"
     vecs.write_ivecs(truth, path)
     read = vecs.read_truth(spark, path).withColumnRenamed("q_id", "at")
     ids = vecs.with_ordinals(order).withColumnRenamed("vec_id", "at")

@@ -15,6 +15,7 @@ def ingest(spark: SparkSession, source: str, held: store.Store, service: keys.Ke
         service.rotate_if_needed()
         good = rows.where(F.size("embedding") == dim)
         held.insert(good, service.table(spark), service.current)
+        service.count(good.count())
 
     stream = spark.readStream.schema("vec_id bigint, embedding array<double>").parquet(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
