@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +47,28 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def release_memory() -> None:
+    """Gives freed memory of this worker back to the system: workers live on between stages, and so does what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run, for mapInArrow, with its memory released at the end of a partition."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,3 +76,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_of(df: DataFrame, column: str = "text"):
     """The text column with null as the empty string."""
     return F.coalesce(df[column].cast("string"), F.lit(""))
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether any doc_id is null or occurs twice; ids are counted on the map side first."""
+    ids = docs.select(docs[id_col].cast("bigint").alias("_id")).groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
+    return not ids.where("_n > 1 OR _id IS NULL").isEmpty()
+
+
+def numbered(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, doc_id, text, with doc telling all rows apart in the order of doc_id, null last.
+
+    doc is doc_id itself where that does; otherwise rows are numbered once, in a table, as numbers don't outlive a rerun.
+    """
+    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_of(docs, text_col).alias("text"))
+    if not repeats(docs, id_col):
+        return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+    return scratch.save(rows.orderBy(F.asc_nulls_last("doc_id"), "text").select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"), "rows")

@@ -7,9 +7,10 @@
 Content itself is part of every grouping key; the digests only spread the rows. A digest that two
 different contents share (SHA-256, a 64-bit hash and the length all equal) raises an error.
 
-Defined cases: null text counts as empty; empty texts form one group; a null doc_id ranks after all
-others; of rows that repeat a doc_id inside a group, one is kept; an empty table gives an empty result;
-further columns pass through the filter untouched, whatever their names.
+Defined cases: null text counts as empty; empty texts form one group; very long texts are compared whole; ties
+in length go to the smaller doc_id; a null doc_id ranks after all others; of rows that repeat a doc_id inside a
+group, one is kept; an empty table gives an empty result; further columns pass through the filter untouched,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import SPACES, text_of
+from veilspan.llm.common import SPACES, Scratch, repeats, text_of
 
 #: One more than the range of shifted doc_ids, so that length comes first in a rank.
 _SPAN = "CAST(36893488147419103232 AS DECIMAL(20,0))"
@@ -69,14 +70,15 @@ def _ranked_groups(docs: DataFrame, id_col: str, text_col: str, salts: int) -> D
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256 (dropped rows too)."""
-    groups = exact_groups(docs, id_col, text_col, salts)
-    rows = _keyed(docs, id_col, text_col, salts).select("doc_id", *_KEY, "_rank")
-    both = rows.join(groups, _KEY)
-    again = F.row_number().over(Window.partitionBy(*_KEY, "doc_id").orderBy(F.desc("_rank")))
-    # Dealt anew by document, so that the join may split a hot group.
-    return both.repartition("doc_id").withColumn("_again", again).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_again") == 1)).alias("kept"), "text_sha256"
-    )
+    # The groups are a table, so both sides of the join are dealt for it alone, and Spark can split a hot group's rows.
+    groups = Scratch(docs.sparkSession, "exact").save(exact_groups(docs, id_col, text_col, salts), "groups")
+    both = _keyed(docs, id_col, text_col, salts).select("doc_id", *_KEY, "_rank").join(groups, _KEY)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    if repeats(docs, id_col):
+        again = F.row_number().over(Window.partitionBy(*_KEY, "doc_id").orderBy(F.desc("_rank")))
+        both = both.repartition("doc_id", "_h").withColumn("_again", again)
+        kept = kept & (F.col("_again") == 1)
+    return both.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
@@ -88,4 +90,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = text_of(docs, text_col)
     rows = docs.select("*", *_digests(F.translate(text, SPACES, ""), names), _rank(docs[id_col].cast("bigint"), F.char_length(text)).alias("__rank"))
     groups = _ranked_groups(docs, id_col, text_col, salts).select(*[F.col(c).alias(n) for c, n in zip([*_KEY, "_best"], names)])
-    return rows.join(groups, names, "left_semi").dropDuplicates(names).select(*[docs[c] for c in docs.columns])
+    kept = rows.join(Scratch(docs.sparkSession, "exact").save(groups, "best"), names, "left_semi")
+    return (kept.dropDuplicates(names) if repeats(docs, id_col) else kept).select(*[docs[c] for c in docs.columns])

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import Scratch, text_of
+from veilspan.llm.common import Scratch, text_of, tidy
 from veilspan.llm.components import components
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -58,7 +58,7 @@ class _Words(dict):
     """64-bit hashes of words, kept for a while."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -162,7 +162,7 @@ def _sets(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(d, pa.binary()), lists], ["doc_id", "x", "n", "digest", "keys"])
                     n, d, keys, held, done = [], [], [], 0, i + 1
 
-    return rows.mapInArrow(run, "doc_id bigint, x bigint, n bigint, digest binary, keys array<bigint>")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, x bigint, n bigint, digest binary, keys array<bigint>")
 
 
 def _met(filed: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def _met(filed: DataFrame) -> DataFrame:
         if again:
             yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], ["key", "d"])
 
-    return filed.mapInArrow(run, "key bigint, d bigint")
+    return filed.mapInArrow(tidy(run), "key bigint, d bigint")
 
 
 def _groups(met: DataFrame, max_group: int) -> DataFrame:
@@ -240,7 +240,7 @@ def _groups(met: DataFrame, max_group: int) -> DataFrame:
         if out[0]:
             yield batch()
 
-    return met.mapInArrow(run, "g bigint, d bigint, to bigint")
+    return met.mapInArrow(tidy(run), "g bigint, d bigint, to bigint")
 
 
 def forest(n: np.ndarray, sk: list[bytes], num: int, den: int) -> Iterator[tuple[int, int]]:
@@ -299,7 +299,7 @@ def _forests(members: DataFrame, num: int, den: int) -> DataFrame:
         if found:
             yield batch()
 
-    return members.mapInArrow(run, "u bigint, v bigint")
+    return members.mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 class Overlaps:
@@ -373,7 +373,7 @@ def _linked_families(families: DataFrame, width: int, num: int, den: int) -> Dat
         if out[0]:
             yield batch()
 
-    return families.mapInArrow(run, "d bigint, to bigint, links bigint")
+    return families.mapInArrow(tidy(run), "d bigint, to bigint, links bigint")
 
 
 #: So many ids, of 32 bytes, are sent to all tasks to pick documents; more are joined by a shuffle.
@@ -432,7 +432,7 @@ def _linked(
             columns = [b.column(0), b.column(2), pa.array([n for n, _ in sk], pa.int64()), pa.array([s for _, s in sk], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["d", "text", "n", "sketch"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = scratch.save(texts.mapInArrow(sketched, "d bigint, text string, n bigint, sketch binary").dropDuplicates(["d"]), "texts")
+    texts = scratch.save(texts.mapInArrow(tidy(sketched), "d bigint, text string, n bigint, sketch binary").dropDuplicates(["d"]), "texts")
     scratch.release()
 
     members = groups.where("to < 0").select("g", "d").join(texts.select("d", "n", "sketch"), "d").select("g", "d", "n", "sketch")

@@ -20,11 +20,11 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import text_of
+from veilspan.llm.common import release_memory, text_of
 
 _BYTES = 97  # printable ASCII each, and all other bytes together
 DIMENSION = _BYTES + 10
@@ -121,9 +121,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.where(~is_held_out(F.col("_id"))).groupBy("_id").agg(F.min("_y").alias("_y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
 
-    @F.pandas_udf("array<double>")
-    def measured(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in texts])
+    @F.arrow_udf("array<double>")
+    def measured(texts: pa.Array) -> pa.Array:
+        return pa.array([features(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
     rows = docs.select(docs[id_col].alias("_id"), text_of(docs, text_col).alias("_text")).join(F.broadcast(known), "_id")  # max_labelled ids
     rows = rows.select("_id", "_y", measured("_text").alias("_x"))
@@ -133,9 +133,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score_column(model: Model, text: Column) -> Column:
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.stack([features(t) for t in texts])) if len(texts) else [], dtype=float)
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        parts = [model.score(np.stack([features(t.as_py()) for t in texts.slice(i, 256)])) for i in range(0, len(texts), 256)]
+        release_memory()
+        return pa.array(np.concatenate([np.zeros(0), *parts]))
 
     return scored(text)
 

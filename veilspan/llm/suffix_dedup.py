@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import Scratch, text_of
+from veilspan.llm.common import Scratch, numbered, tidy
 from veilspan.llm.rolling import HISTORY, Prints, gear, mix64, scramble, sliding_min
 
 _ENTRY = ["k", "u"]
@@ -108,7 +108,7 @@ class IndexFamily:
 
 
 def _mapped(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def _out(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
@@ -198,13 +198,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not HISTORY + spread <= length:
         raise ValueError("spread must leave room for the gear hash's history")
     scratch = Scratch(docs.sparkSession, "suffix")
-    # A row's own number tells repeated rows apart; the pairs are written once, as numbers don't outlive a rerun.
-    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    many = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
-    if many.isEmpty():
-        rows = rows.select(F.col("doc_id").alias("doc"), "doc_id", "text")
-    else:
-        rows = scratch.save(rows.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"), "rows")
+    rows = numbered(docs, scratch, id_col, text_col)
     spans = scratch.save(_scan(rows.select("doc", "text"), length, spread), "ranges")
     whole, listed = _settle(spans, scratch, "ranges", batches)
     scratch.drop("ranges")
@@ -237,7 +231,7 @@ def _merged(rows: DataFrame) -> DataFrame:
                 every.append(merged)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(every, shape)], ["doc_id", "text", "spans"])
 
-    return rows.mapInArrow(run, "doc_id bigint, text string, spans array<struct<start:int,end:int>>")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, text string, spans array<struct<start:int,end:int>>")
 
 
 def kept_digests(found: DataFrame) -> DataFrame:
@@ -258,4 +252,4 @@ def kept_digests(found: DataFrame) -> DataFrame:
             runs = np.array([len(s) for s in b.column(2)], np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs), pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return found.select("doc_id", "text", "spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return found.select("doc_id", "text", "spans").mapInArrow(tidy(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
