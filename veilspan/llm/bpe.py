@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import text_of
+from veilspan.llm.common import release_memory, text_of, tidy
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
 #: The characters of Unicode's White_Space, and the pattern's contractions.
@@ -288,7 +288,7 @@ def fold_column(words: str, ranks: dict[bytes, int]):
     return named(literal, lambda table: F.transform(words, lambda word: folded(table, word)))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 8 << 20, folded: int = 8192, long_piece: int = 48, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 3 << 20, folded: int = 3072, long_piece: int = 48, decoded: bool = False) -> DataFrame:
     """doc_id and ids (binary: little-endian unsigned 32-bit integers); with decoded also the bytes of these ids."""
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_of(docs, text_col).alias("text"))
     shape = pa.list_(pa.struct([("doc_id", pa.int64()), ("at", pa.binary())]))
@@ -363,11 +363,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 if out:
                     yield batch(doc_ids.slice(done, len(out)), out)
                 del coded, more, flat, docs_of, doc_ids
-            pa.default_memory_pool().release_unused()
+            release_memory()
 
-    packed = rows.mapInArrow(pack, "words array<array<bigint>>, rest array<binary>, docs array<struct<doc_id:bigint,at:binary>>")
+    packed = rows.mapInArrow(tidy(pack), "words array<array<bigint>>, rest array<binary>, docs array<struct<doc_id:bigint,at:binary>>")
     coded = packed.select("rest", "docs", fold_column("words", read_ranks(path)).alias("ids"))
-    return coded.mapInArrow(unpack, "doc_id bigint, ids binary" + ", decoded binary" * decoded)
+    return coded.mapInArrow(tidy(unpack), "doc_id bigint, ids binary" + ", decoded binary" * decoded)
 
 
 @lru_cache(4)
@@ -390,7 +390,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 texts = [decode_ids(i.as_buffer(), pieces) for i in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id bigint, ids binary, decoded binary")
 
 
 def roundtrip(docs: DataFrame, path: str, **options) -> DataFrame:
