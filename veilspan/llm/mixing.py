@@ -1,9 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions only.
 
 Every source gets a target in words: a share of the whole by weight, stopped at ``max_epochs`` times the
-source's own words, the excess reshared by weight. ``floor(target / size)`` whole copies of each of its
-documents are certain. The rest is a sample of fixed size in words: documents are ranked by random odds
-over inclusion odds (Pareto order sampling, Rosén 1997) and taken in that order.
+source's own words, the excess reshared by weight. Inside a source a document of more words is expected more often:
+its expected copies rise with the power ``tilt`` of its size (by classes of four to a doubling), stop at ``max_epochs``, and
+fill the source's target on the whole. The whole part of the expected copies is certain, and the rest is the
+document's inclusion probability in a sample of fixed size in words: documents are ranked by random odds over
+inclusion odds (Pareto order sampling, Rosén 1997) and taken in that order. With a tilt of 0 all documents of a source
+are alike.
 
 The order is cut without sorting a source in one task: ranks fall into buckets of about ``per_bucket``
 documents, the buckets' sums say in which of them the cut lies, and only that one is walked row by row,
@@ -13,8 +16,11 @@ just as by a walk over the whole order.
 
 Random numbers come from the MD5 of seed and doc_id, so reruns agree.
 
-Defined cases: a null text has size 0; null is a source of its own, last in order; sources without words
-have target 0; repeated rows count as documents of their own; an empty table gives an empty result.
+Defined cases: a null or empty text has size 0 and takes 0 words; null is a source of its own, last in order; sources
+without words have target 0; repeated rows count as documents of their own with the same random number; null doc_ids
+share one; ties in the order go by doc_id, then size; very long texts are counted whole, and one that
+doesn't fit into what is left of a target is passed over; an empty table gives an empty result; other columns,
+whatever their names, are not read (``mixed_documents`` returns them as they are).
 """
 
 from __future__ import annotations
@@ -54,6 +60,28 @@ def source_targets(sized: DataFrame, weights: Sequence[float], total: float, max
     return per.select("source", "source_size", "n_docs", F.coalesce(F.least(F.col("_level") * F.col("_w"), F.col("_cap")), F.col("_cap")).alias("target"))
 
 
+def document_shares(sized: DataFrame, targets: DataFrame, tilt: float, max_epochs: float) -> DataFrame:
+    """Per source and class of sizes: _whole, certain copies, and _p, inclusion probability of one more.
+
+    Expected copies are min(max_epochs, level * 2^(class * tilt / 4)) with the level that fills the source's
+    target: the closed form for the first class, from the largest down, that its level doesn't stop.
+    """
+    weight, cap = F.pow(F.lit(2.0), F.col("_class") * (tilt / 4)), F.lit(float(max_epochs))
+    per = sized.groupBy("source", "_class").agg(F.sum("size").alias("_s")).withColumnRenamed("source", "_own")
+    per = per.join(targets, per["_own"].eqNullSafe(targets["source"])).drop("_own").withColumn("_w", weight)
+    order = Window.partitionBy("source").orderBy(F.desc("_class"))
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    level = (F.col("target") - cap * F.coalesce(F.sum("_s").over(before), F.lit(0))) / F.nullif(F.sum(F.col("_s") * F.col("_w")).over(after), F.lit(0.0))
+    per = per.withColumn("_level", level)
+    per = per.withColumn("_level", F.first(F.when(F.col("_level") * F.col("_w") <= cap, F.col("_level")), ignorenulls=True).over(every))
+    copies = F.when(F.col("source_size") == 0, 0.0).otherwise(F.coalesce(F.least(cap, F.col("_level") * F.col("_w")), cap))
+    per = per.withColumn("_whole", F.floor(copies)).withColumn("_p", copies - F.floor(copies))
+    rest = F.greatest(F.lit(0.0), F.col("target") - F.sum(F.col("_whole") * F.col("_s")).over(every))
+    mean = rest / F.nullif(F.sum(F.when(F.col("_p") > 0, F.col("_s"))).over(every), F.lit(0))
+    return per.select("source", "_class", "_whole", "_p", rest.alias("_rest"), F.least(mean, F.lit(1 - 1e-9)).alias("_mean"))
+
+
 def _walk(rows: DataFrame, span: DataFrame) -> DataFrame:
     """_source, _at, _docs, _took, _left: the next bucket of each source that what is left doesn't cover, walked in order."""
     state = span.select("_source", F.col("_at").alias("_from"), F.col("_left").alias("_had"))
@@ -87,32 +115,32 @@ def mix(
     weights: Sequence[float] = (5, 2, 1),
     total: float = 1.5,
     max_epochs: float = 2.0,
+    tilt: float = 0.25,
     seed: int = 17,
     per_bucket: int = 256,
 ) -> DataFrame:
     """Per document: doc_id, size, source, source_size, target, copies, taken (size times copies)."""
     scratch = Scratch(docs.sparkSession, "mix")
-    sized = scratch.save(sizes(docs, id_col, text_col, source_col), "sizes")
+    sized = sizes(docs, id_col, text_col, source_col).withColumn("_class", F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int"))
+    sized = scratch.save(sized, "sizes")
     targets = scratch.save(source_targets(sized, weights, total, max_epochs).coalesce(1), "targets")
-    targets = targets.select(
-        F.col("source").alias("_source"),
-        "source_size",
-        "target",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint").alias("_whole"),
-        F.ceil(F.col("n_docs") / per_bucket).alias("_buckets"),
-    ).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-    rows = sized.join(targets, sized["source"].eqNullSafe(targets["_source"])).drop("_source")
+    shares = scratch.save(document_shares(sized, targets, tilt, max_epochs), "shares")
+    of = targets.select(F.col("source").alias("_source"), "source_size", "target", F.ceil(F.col("n_docs") / per_bucket).alias("_buckets"))
+    per = of.join(shares, of["_source"].eqNullSafe(shares["source"])).drop("source").withColumnRenamed("_class", "_of")
+    rows = sized.join(per, sized["source"].eqNullSafe(per["_source"]) & (sized["_class"] == per["_of"])).drop("_source", "_of")
     bits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double")
     u = (bits + 0.5) / float(2**52)
-    p = F.when(F.col("source_size") > 0, F.col("_rest") / F.col("source_size")).otherwise(0.0)
-    odds = (u / (1 - u)) / (p / (1 - p))
-    # u is a document's place in [0, 1) of its source's Pareto order, as all of a source have the same odds.
-    rows = rows.withColumn("_q", F.when(p > 0, odds)).withColumn("_bucket", F.floor(u * F.col("_buckets")))
+    p, mean = F.col("_p"), F.col("_mean")
+    odds = (u / (1 - u)) / F.nullif(p / (1 - p), F.lit(0.0))
+    # A place in [0, 1) that rises with the odds, and is uniform if all documents of a source have the same p.
+    level = odds * mean / (1 - mean)
+    place = F.least(level / (1 + level), F.lit(1 - 1e-12))
+    rows = rows.withColumn("_q", F.when(p > 0, odds)).withColumn("_bucket", F.coalesce(F.floor(place * F.col("_buckets")), F.lit(0).cast("bigint")))
     kept = ["doc_id", "size", "source", "source_size", "target", "_whole"]
     rows = scratch.save(rows.select(*kept, "_q", "_bucket"), "rows")
     open_ = rows.where(F.col("_q").isNotNull())
     # _at, _left: what is left of a source's target after its bucket _at; one row for each cut so far.
-    spans = [scratch.save(targets.select("_source", F.lit(-1).cast("bigint").alias("_at"), F.col("_rest").alias("_left")), "span0")]
+    spans = [scratch.save(shares.select(F.col("source").alias("_source"), F.lit(-1).cast("bigint").alias("_at"), F.col("_rest").alias("_left")).distinct(), "span0")]
     walks = []
     while True:
         walked = scratch.save(_walk(open_, spans[-1]), f"walk{len(walks)}")
