@@ -9,9 +9,10 @@ Short runs, as of common phrases, are left alone.
 Counts are combined on the map side before they are shuffled, so a chunk that a third of all documents
 share is one row for a task. Chunks end after ``max_chunk`` bytes at the latest.
 
-Defined cases: null text counts as empty, and has no chunks; of repeated rows (equal doc_id) all but one
-occurrence of a chunk are removed inside the same text only; ties go to the smaller place; a text of one
-chunk is treated like any other; an empty table gives an empty result; other columns are not read.
+Defined cases: null text counts as empty, and has no chunks; null doc_ids come after all others; repeated rows,
+and rows that share a doc_id, are documents of their own, in the order of their texts; ties go to the smaller
+place; a text of one chunk is treated like any other; very long texts are read whole; an empty table gives an
+empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import Scratch, text_of
+from veilspan.llm.common import Scratch, numbered, tidy
 from veilspan.llm.rolling import Prints, gear, scramble
 
 _CHUNK = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("k", pa.int64()), ("u", pa.int64())])
@@ -66,13 +67,13 @@ def chunks(rows: DataFrame, mean: int, max_chunk: int) -> DataFrame:
         if held:
             yield out()
 
-    return rows.mapInArrow(run, "doc bigint, start int, size int, k bigint, u bigint")
+    return rows.mapInArrow(tidy(run), "doc bigint, start int, size int, k bigint, u bigint")
 
 
 def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = 48, max_chunk: int = 1024, min_run: int = 160) -> DataFrame:
     """Per document: doc_id, text, n_chunks, repeated and removed (arrays of start, end in bytes)."""
     scratch = Scratch(docs.sparkSession, "chunks")
-    rows = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(-(2**62))).alias("doc"), docs[id_col].cast("bigint").alias("doc_id"), text_of(docs, text_col).alias("text"))
+    rows = numbered(docs, scratch, id_col, text_col)
     found = scratch.save(chunks(rows.select("doc", "text"), mean, max_chunk), "chunks")
     index = found.groupBy("k", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.expr(_PLACE).cast("decimal(38,0)")).alias("place")).where("n > 1")
     index = scratch.save(index, "index")
@@ -112,7 +113,7 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     span = "array<struct<start:int,end:int>>"
-    return both.mapInArrow(run, f"doc_id bigint, text string, n_chunks bigint, repeated {span}, removed {span}")
+    return both.mapInArrow(tidy(run), f"doc_id bigint, text string, n_chunks bigint, repeated {span}, removed {span}")
 
 
 def chunk_digests(found: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def chunk_digests(found: DataFrame) -> DataFrame:
             )
 
     span = "array<struct<start:int,end:int>>"
-    rows = found.select("doc_id", "text", "n_chunks", "repeated", "removed").mapInArrow(kept, f"doc_id bigint, n_bytes bigint, n_chunks bigint, repeated {span}, removed {span}, kept_sha256 string")
+    rows = found.select("doc_id", "text", "n_chunks", "repeated", "removed").mapInArrow(tidy(kept), f"doc_id bigint, n_bytes bigint, n_chunks bigint, repeated {span}, removed {span}, kept_sha256 string")
     length = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     said = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return rows.select("doc_id", "n_bytes", "n_chunks", length("repeated").alias("n_repeated"), length("removed").alias("n_removed"), said.alias("removed_spans"), "kept_sha256")
