@@ -3,15 +3,19 @@
 Rules (fixed values, see ``RULES``) find assignments, access keys and hex strings. Candidates are runs of
 16 or more token characters that mix digits with letters or change case often. The network, in numpy,
 reads each candidate with the characters before and after it, long ones whole, window by window; the
-greatest score counts. It is trained on labelled findings: ones made by a seeded generator, and rule
-findings and other candidates of a bounded sample of the corpus (``max_findings``). Its scores are calibrated on findings held back from training, and the threshold is
-the highest at which it still finds ``min_recall`` of the secrets among those.
+greatest score counts. It is trained on labelled findings: ones made by a seeded generator, and the rules' own
+findings in the corpus, which are secrets. Candidates that no rule matches have no label, as a secret of another
+shape is one of them: they count as clean with the small weight ``unlabelled``. From the corpus come at most
+``max_findings`` candidates of ``max_texts`` whole texts, the first by a hash. Scores are calibrated on labelled findings held back
+from training, and the threshold is the highest at which it still finds ``min_recall`` of the secrets among those.
 
 Spans of rules always stay; candidates above the threshold that overlap none of them are added as kind
 ``cnn``. Offsets are code points, ends exclusive.
 
 Defined cases: null text counts as empty; texts without secrets give an empty list of spans; texts are
-read whole at any length; an empty table gives an empty result; repeated rows get the same spans each.
+read whole at any length; spans that start together come in the order of kinds; null doc_ids are kept; an
+empty table gives an empty result, and trains on made findings only; repeated rows get the same spans each; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import text_of
+from veilspan.llm.common import Scratch, text_of, tidy
 
 #: Kinds in their order, patterns, and least lengths (of group 2, or of the match).
 KINDS = ("assign", "access", "hex")
@@ -137,7 +141,7 @@ class Network:
         pooled = np.concatenate([inner.max(1), outer.max(1)], axis=1)
         return patches, at, pooled, pooled @ self.out + self.last
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 4e-3, seed: int = 9) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 4e-3, seed: int = 9) -> None:
         rng, n_f = np.random.default_rng(seed), self.conv.shape[1]
         params = [self.embed, self.conv, self.bias, self.out, np.array([self.last])]
         m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
@@ -146,7 +150,7 @@ class Network:
             for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
                 xb, yb = x[rows], y[rows]
                 patches, at, pooled, z = self.forward(xb)
-                d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - yb) / len(rows)
+                d = weight[rows] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - yb) / len(rows)
                 grads = [np.zeros_like(p) for p in params]
                 grads[3], grads[4] = pooled.T @ d, np.array([d.sum()])
                 dp = d[:, None] * self.out * (pooled > 0)
@@ -187,27 +191,37 @@ class Network:
 
 
 def made_findings(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Seeded labelled findings: tokens and keys in settings of use (1), and ids, names, paths, numbers (0)."""
+    """Seeded labelled findings: tokens and keys in settings of use or bare (1), and ids, names, paths, numbers (0)."""
     rng = np.random.default_rng(seed)
-    alphabets = ("abcdef0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789")
-    lead = ("auth_key=", "Authorization: Bearer ", "client_secret: ", "private key ", "credential=", 'access_token": "', "pwd: ", "key=", "signing_key = ")
-    mark = ("", "", "ghp_", "sk_live_", "xoxb-", "AKIA", "AIza", "glpat-", "eyJ")
-    plain = ("see ", "file ", "on ", "section ", "http://", "order ", "page ", "the ", "version ", "report-")
-    word = lambda k: "".join(rng.choice(list("aeioustnrlchdm"), k))
+    alphabets = ("abcdef0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+    lead = ("auth_key=", "Authorization: Bearer ", "client_secret: ", "private key ", "credential=", 'access_token": "', "pwd: ", "key=", "signing_key = ", "", "", "the ", "see ")
+    mark = ("", "", "", "ghp_", "sk_live_", "xoxb-", "AKIA", "AIza", "glpat-", "eyJ")
+    plain = ("see ", "file ", "on ", "section ", "http://", "order ", "page ", "the ", "version ", "report-", "mail ", "id=", "key ", "")
+    letters = list("aeioustnrlchdmpgbfkvwyjxqz")
+    odds = np.r_[np.full(14, 5.0), np.full(12, 2.0)]
+    word = lambda k: "".join(rng.choice(letters, k, p=odds / odds.sum()))
+    number = lambda k: str(rng.integers(10 ** (k - 1), 10**k))
+    shapes = [
+        lambda: f"{word(6)}.{word(5)}.com/{word(7)}/{rng.integers(1, 99)}",
+        lambda: f"{word(8)}-{word(6)}-{rng.integers(1990, 2030)}",
+        lambda: f"{rng.integers(1990, 2030)}-0{rng.integers(1, 9)}-1{rng.integers(0, 9)}T1{rng.integers(0, 9)}.00.00",
+        lambda: f"{word(5).title()}{word(6).title()}{word(7).title()}",
+        lambda: f"{number(9)}.{number(9)}e{rng.integers(9)}",
+        lambda: f"{word(9)}_{word(8)}_v{rng.integers(1, 20)}",
+        lambda: f"{word(6)}{rng.integers(1, 999)}.{word(4)}.example.{rng.choice(['com', 'org', 'net'])}",
+        lambda: f"www.{word(7)}.org/{word(4)}/{word(6)}_{rng.integers(1, 99)}.html",
+        lambda: f"/{word(3)}/{word(5)}/{word(6)}{rng.integers(0, 9)}/{word(7)}.{rng.choice(['py', 'txt', 'json', 'mp3'])}",
+        lambda: f"{word(4)}.{word(7)}.{word(5).title()}{word(6).title()}{rng.integers(0, 9)}",
+        lambda: f"{word(4)}{word(6).title()}{word(5).title()}{word(4).title()}ById{rng.integers(0, 99)}",
+        lambda: f"{word(3).upper()}-{number(6)}-{number(8)}",
+        lambda: f"{word(7)}={word(6)}_{rng.integers(1, 9)}+{word(6)}",
+    ]
     x, y = [], []
     for i in range(n):
         if i % 2:
-            pre, token = rng.choice(lead), rng.choice(mark) + "".join(rng.choice(list(alphabets[rng.integers(4)]), rng.integers(18, 48)))
+            pre, token = rng.choice(lead), rng.choice(mark) + "".join(rng.choice(list(alphabets[rng.integers(len(alphabets))]), rng.integers(18, 48)))
         else:
-            pre = rng.choice(plain)
-            token = [
-                lambda: f"{word(6)}.{word(5)}.com/{word(7)}/{rng.integers(1, 99)}",
-                lambda: f"{word(8)}-{word(6)}-{rng.integers(1990, 2030)}",
-                lambda: f"{rng.integers(1990, 2030)}-0{rng.integers(1, 9)}-1{rng.integers(0, 9)}T1{rng.integers(0, 9)}.00.00",
-                lambda: f"{word(5).title()}{word(6).title()}{word(7).title()}",
-                lambda: f"{rng.integers(10**8, 10**9)}.{rng.integers(10**8, 10**9)}e{rng.integers(9)}",
-                lambda: f"{word(9)}_{word(8)}_v{rng.integers(1, 20)}",
-            ][rng.integers(6)]()
+            pre, token = rng.choice(plain), shapes[rng.integers(len(shapes))]()
             token = token if len(token) >= 16 else token + word(16 - len(token))
         before = f"{word(6)} {word(4)}. {pre}"
         x.append(window(f"{before}{token} {word(5)}", len(before), len(before) + len(token)))
@@ -215,24 +229,43 @@ def made_findings(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(x), np.array(y, dtype=float)
 
 
-def train_scanner(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_findings: int = 1500, min_recall: float = 0.98) -> Network:
-    """Trains on made findings and on at most max_findings texts of the corpus, the first by a hash of doc_id."""
-    picked = docs.select(docs[id_col].alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(max_findings)
-    texts = docs.select(docs[id_col].alias("_id"), F.substring(text_of(docs, text_col), 1, 4000).alias("_t"))
-    sample = texts.join(F.broadcast(picked.distinct()), "_id").orderBy(F.xxhash64("_id"), "_t")  # max_findings ids at most
-    x, y = made_findings(3000)
-    xs, ys = [], []
-    for row in sample.toLocalIterator():
-        spans = rule_spans(row["_t"])
-        for s, e in candidates(row["_t"]):
-            xs.append(window(row["_t"], s, e))
-            ys.append(float(any(s < b and a < e for a, b, _ in spans)))
-    if xs:
-        x, y = np.concatenate([x, np.stack(xs)]), np.concatenate([y, np.array(ys)])
+def corpus_findings(docs: DataFrame, id_col: str, text_col: str, max_texts: int, max_findings: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of candidates in max_texts whole texts, and whether a rule matches there: the first max_findings by a hash."""
+    shape = pa.schema([("h", pa.int64()), ("codes", pa.binary()), ("rule", pa.bool_())])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], []]
+            for h, t in zip(b.column(0).to_pylist(), b.column(1)):
+                text = t.as_py()
+                spans = rule_spans(text)
+                for s, e in candidates(text):
+                    for column, v in zip(out, (h ^ s, window(text, s, e).astype(np.uint8).tobytes(), any(s < z and a < e for a, z, _ in spans))):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, shape)], schema=shape)
+
+    rows = docs.select(F.xxhash64(docs[id_col], text_of(docs, text_col)).alias("h"), text_of(docs, text_col).alias("text"))
+    picked = rows.select("h").orderBy("h").limit(max_texts).distinct()
+    every = rows.join(F.broadcast(picked), "h").mapInArrow(tidy(found), "h bigint, codes binary, rule boolean")  # max_texts numbers at most
+    every = Scratch(docs.sparkSession, "secrets").save(every, "findings")
+    got = []
+    for rule in (True, False):  # half of the bound for either kind
+        got += every.where(F.col("rule") == rule).orderBy("h", "codes").limit(max_findings // 2).collect()
+    x = np.array([np.frombuffer(r["codes"], np.uint8) for r in got], dtype=np.int64).reshape(-1, _WIDTH)
+    return x, np.array([r["rule"] for r in got], dtype=float)
+
+
+def train_scanner(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_texts: int = 3000, max_findings: int = 3000, min_recall: float = 0.98, unlabelled: float = 0.1) -> Network:
+    """Trains on made findings and on at most max_findings candidates of max_texts texts of the corpus."""
+    x, y = made_findings(4000)
+    more, rule = corpus_findings(docs, id_col, text_col, max_texts, max_findings)
+    weight = np.r_[np.ones(len(x)), np.where(rule == 1, 1.0, unlabelled)]
+    x, y = np.concatenate([x, more]), np.r_[y, rule]
     held = np.arange(len(x)) % 5 == 0
     net = Network.new()
-    net.train(x[~held], y[~held])
-    net.calibrate(x[held], y[held], min_recall)
+    net.train(x[~held], y[~held], weight[~held])
+    labelled = held & (weight == 1)
+    net.calibrate(x[labelled], y[labelled], min_recall)
     return net
 
 
@@ -269,7 +302,7 @@ def scan(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
             found = [[{"start": s, "end": e, "kind": k, "probability": p} for s, e, k, p in scan_text(t.as_py(), net)] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, shape)], ["doc_id", "findings"])
 
-    return rows.mapInArrow(scanned, f"doc_id bigint, findings {kind}")
+    return rows.mapInArrow(tidy(scanned), f"doc_id bigint, findings {kind}")
 
 
 def scan_digests(found: DataFrame) -> DataFrame:
