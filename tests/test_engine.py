@@ -8,9 +8,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from veilspan import queries
 from veilspan.config import Coding, Config, Evaluation, Rotation, Search, load
 from veilspan.functions import vectors as vx
-from veilspan.operators import coding, crypto, evaluate, index, keys, knn, refine, routing, store
+from veilspan.operators import coding, crypto, evaluate, index, keys, knn, refine, routing, scan, store
 from veilspan.operators import ranking
 from veilspan.operators.keys import KeyService
 from veilspan.plans import cache
@@ -432,3 +433,65 @@ def test_hard_cap_holds_unless_it_is_turned_off(spark):
     built = index.build(v, Coding(m=4, lam=2, divisions=2, tables=2, min_sample=1))
     n = {cap: plans.route(q, built, Search(refinement_limit=10, max_candidates=100, cap=cap), 4).count() for cap in (None, 0)}
     assert 100 <= n[None] < 164 < n[0]
+
+
+def listed(spark, rows, probes, c):
+    """(index, queries, vectors, the opened candidates as rows, by joins)."""
+    v = frame(spark, rows)
+    q, built = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), "embedding"), index.build(v, c)
+    return built, q, v, plans.refine_once(q, built, Search(refinement_limit=2**31 - 1, cap=0, probes=probes), probes, vectors=v, exclude_self=True)
+
+
+@pytest.mark.parametrize("m", [6, 40])
+def test_scan_opens_what_joins_open(spark, m):
+    """Also with codes of two words, copies of a vector, and small groups; pairs are not listed."""
+    rng = np.random.default_rng(m)
+    x = rng.normal(size=(700, 8))
+    x[300:500] = x[0]
+    built, q, v, rows = listed(spark, x, 3, Coding(m=m, tables=2, divisions=2, min_sample=1))
+    runs = plans.probed_runs(q, built, 3)
+    found = scan.search(runs, built, q, 5, v, True, group_bytes=20_000)
+    got = sorted((r["q_id"], r["rank"], r["vec_id"], round(r["distance"], 9)) for r in refine.top_k(found.best, 5).collect())
+    assert got == sorted((r["q_id"], r["rank"], r["vec_id"], round(r["distance"], 9)) for r in refine.top_k(rows, 5).collect())
+    assert sorted(map(tuple, found.counts.collect())) == sorted(map(tuple, evaluate.opened_counts(rows).collect()))
+    ids = [r[0] for r in found.touched.collect()]
+    assert len(ids) == len(set(ids)) and set(ids) == {r[0] for r in refine.touched(rows).collect()}
+    groups = found.table.where("q_id IS NULL").count()
+    assert groups > 3 and found.table.selectExpr("max(size(ids)) FILTER (WHERE q_id IS NOT NULL)").first()[0] <= 5
+    assert found.best.count() <= 5 * groups * q.count() and found.counts.agg(F.sum("n")).first()[0] > found.best.count()
+
+
+def test_scan_retry_and_counts_equal_search(spark):
+    v = cluster(spark, 600)
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), "embedding")
+    config = Config(Coding(m=4, lam=3, divisions=2, tables=2, seed=42, min_sample=1), Search(refinement_limit=2**31 - 1, cap=0, probes=1, retry_probes=4, retry_factor=27))
+    built = index.build(v, config.coding)
+    results, counts = plans.search_whole(q, built, config, 8, v, exclude_self=True)
+    want, opened = plans.search(q, built, config, 8, vectors=v, exclude_self=True)
+    need = refine.needs_retry(plans.refine_once(q, built, config.search, 1, vectors=v, exclude_self=True), q, 8, 27).count()
+    assert 0 < need and plans.uncut(config.search)
+    assert sorted((r["q_id"], r["rank"], r["vec_id"]) for r in results.collect()) == sorted((r["q_id"], r["rank"], r["vec_id"]) for r in want.collect())
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, evaluate.opened_counts(opened).collect()))
+
+
+def test_scan_opens_no_deleted_records(spark):
+    v = cluster(spark, 300)
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), "embedding")
+    built, ring = index.build(v, Coding(m=4, divisions=2, tables=2, min_sample=1)), crypto.key_table(spark, {1: b"\1" * 32})
+    held = store.soft_delete(store.live(crypto.encrypt_vectors(v, ring, 1)), v.where("vec_id % 7 = 3").select("vec_id"))
+    found = plans.scan_encrypted(q, built, 2, 10, held, ring)
+    ids = {r[0] for r in found.touched.collect()}
+    plain = plans.scan_once(q, built, 2, 10, v)
+    assert ids == {r[0] for r in plain.touched.collect() if r[0] % 7 != 3} and any(r[0] % 7 == 3 for r in plain.touched.collect())
+
+
+@pytest.mark.parametrize("name", ["refine_topk", "refine_encrypted", "search_run", "recall_at_k", "touched_union", "cumulative_touched"])
+def test_registered_searches_list_no_pairs(spark, monkeypatch, name):
+    """The join that makes a row for each query and candidate is not met."""
+
+    def met(*_, **__):
+        raise AssertionError("pairs are listed")
+
+    for f in ("sightings", "candidates"):
+        monkeypatch.setattr(routing, f, met)
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()

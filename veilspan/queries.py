@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veilspan.config import Coding, Config, Evaluation, Search
 from veilspan.functions import vectors as vx
-from veilspan.operators import coding, crypto, evaluate, index, keys, knn, refine, routing, store
+from veilspan.operators import coding, crypto, evaluate, index, keys, knn, refine, routing, scan, store
 from veilspan.plans import search as plans
 from veilspan.scratch import Scratch
 from veilspan.sources import reports, vecs
@@ -69,12 +69,11 @@ def seen_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.sightings(probed, built.membership).where("vec_id <> q_id")
 
 
-def opened_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(queries, vectors, opened candidates), kept for the queries that need them twice."""
-    v = vectors_of(spark, sf_dir)
+def opened_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, scan.Found]:
+    """(queries, vectors, what they opened): all candidates are opened, but only the best, counts and ids are listed."""
+    v, built = vectors_of(spark, sf_dir), index_of(spark, sf_dir)
     q = queries_of(v)
-    budget = routing.candidates(seen_of(spark, sf_dir))
-    return q, v, Scratch(spark, "opened").save(refine.distances(budget, q, v), "opened")
+    return q, v, plans.scan_once(q, built, config_of(built).search.probes, K, v, exclude_self=True)
 
 
 def records_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -285,7 +284,7 @@ def hamming_prefilter(spark, sf_dir):
 @query(f"WITH {_found()} SELECT q_id, rank, vec_id, round(distance, 6) AS distance FROM found")
 def refine_topk(spark, sf_dir):
     _, _, opened = opened_of(spark, sf_dir)
-    return rank_int(refine.top_k(opened, K)).select("q_id", "rank", "vec_id", r6("distance"))
+    return rank_int(refine.top_k(opened.best, K)).select("q_id", "rank", "vec_id", r6("distance"))
 
 
 @query(f"WITH {_found('vec_id % 7 <> 3')} SELECT q_id, rank, vec_id, round(distance, 6) AS distance FROM found")
@@ -302,7 +301,7 @@ def refine_encrypted(spark, sf_dir):
 def _metrics(spark, sf_dir) -> DataFrame:
     q, v, opened = opened_of(spark, sf_dir)
     results, truth = Scratch(spark, "results"), Scratch(spark, "truth")
-    return plans.metrics(results.save(refine.top_k(opened, K), "r"), opened, truth.save(knn.exact_knn(q, v, K), "t"), q, KS)
+    return plans.metrics(results.save(refine.top_k(opened.best, K), "r"), opened.counts, truth.save(knn.exact_knn(q, v, K), "t"), q, KS)
 
 
 @query(f"WITH {_found()} SELECT q_id, k, recall FROM met")
@@ -351,24 +350,24 @@ def zero_hit_rate(spark, sf_dir):
     SELECT q_id, opened, returned, opened / {K} AS cf_k, opened / returned AS cf_returned, opened / (SELECT count(*) FROM v) AS sf FROM a JOIN b USING (q_id)""")
 def topk_factors(spark, sf_dir):
     _, v, opened = opened_of(spark, sf_dir)
-    return evaluate.topk_factors(opened, refine.top_k(opened, K), v.count(), K)
+    return evaluate.topk_factors(opened.counts, refine.top_k(opened.best, K), v.count(), K)
 
 
 @query(f"WITH {_found()} SELECT q_id, string_agg(vec_id, ';' ORDER BY rank) AS ids FROM found GROUP BY q_id")
 def audit_report(spark, sf_dir):
     _, _, opened = opened_of(spark, sf_dir)
-    return reports.audit_rows(refine.top_k(opened, K))
+    return reports.audit_rows(refine.top_k(opened.best, K))
 
 
 @query(f"WITH {_found()} SELECT DISTINCT vec_id FROM opened")
 def touched_union(spark, sf_dir):
-    return refine.touched(opened_of(spark, sf_dir)[2])
+    return refine.touched(opened_of(spark, sf_dir)[2].touched)
 
 
 @query(f"WITH {_found()} SELECT f.q_id, f.vec_id FROM found f SEMI JOIN truth t ON f.q_id = t.q_id AND f.vec_id = t.vec_id")
 def set_intersect_ids(spark, sf_dir):
     q, v, opened = opened_of(spark, sf_dir)
-    return refine.top_k(opened, K).select("q_id", "vec_id").intersect(knn.exact_knn(q, v, K).select("q_id", "vec_id"))
+    return refine.top_k(opened.best, K).select("q_id", "vec_id").intersect(knn.exact_knn(q, v, K).select("q_id", "vec_id"))
 
 
 def _retried(p: str, p2: str, factor: int) -> str:
@@ -715,7 +714,7 @@ def decoy_mix(spark, sf_dir):
 
 @query(f"WITH {_found()} SELECT run, touched, sum(touched) OVER (ORDER BY run)::BIGINT AS total FROM (SELECT q_id AS run, count(*) AS touched FROM opened GROUP BY q_id)")
 def cumulative_touched(spark, sf_dir):
-    runs = opened_of(spark, sf_dir)[2].groupBy(F.col("q_id").alias("run")).agg(F.count(F.lit(1)).alias("touched"))
+    runs = opened_of(spark, sf_dir)[2].counts.select(F.col("q_id").alias("run"), F.col("n").alias("touched"))
     return reports.cumulative_touched(runs)
 
 
