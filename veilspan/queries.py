@@ -290,12 +290,10 @@ def refine_topk(spark, sf_dir):
 @query(f"WITH {_found('vec_id % 7 <> 3')} SELECT q_id, rank, vec_id, round(distance, 6) AS distance FROM found")
 def refine_encrypted(spark, sf_dir):
     """From the store, on mixed key versions; soft-deleted records are never opened."""
-    v = vectors_of(spark, sf_dir)
+    q, built = queries_of(vectors_of(spark, sf_dir)), index_of(spark, sf_dir)
     records, ring = records_of(spark, sf_dir)
-    q = queries_of(v)
-    budget = routing.candidates(seen_of(spark, sf_dir))
-    opened = refine.encrypted_distances(budget, q, records, ring)
-    return rank_int(refine.top_k(opened, K)).select("q_id", "rank", "vec_id", r6("distance"))
+    opened = plans.scan_encrypted(q, built, config_of(built).search.probes, K, records, ring, exclude_self=True)
+    return rank_int(refine.top_k(opened.best, K)).select("q_id", "rank", "vec_id", r6("distance"))
 
 
 def _metrics(spark, sf_dir) -> DataFrame:
