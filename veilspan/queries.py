@@ -381,7 +381,7 @@ def _retried(p: str, p2: str, factor: int) -> str:
 def search_run(spark, sf_dir):
     """The whole search on plaintext, with retry and fallback."""
     v, built = vectors_of(spark, sf_dir), index_of(spark, sf_dir)
-    results, _ = plans.search(queries_of(v), built, config_of(built), K, vectors=v, exclude_self=True)
+    results, _ = plans.search_whole(queries_of(v), built, config_of(built), K, v, exclude_self=True)
     return rank_int(results).select("q_id", "rank", "vec_id", r6("distance"))
 
 
