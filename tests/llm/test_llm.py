@@ -563,3 +563,37 @@ def test_empty_documents(spark, name, tmp_path):
 
 
 assert os.path.isdir(SF)
+
+
+def test_bm25_queries_travel_in_blocks_and_rounds(spark, tmp_path):
+    """Blocks hold a term once; rounds give the rows of one round, each of the queries asked once."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words, 60, p=np.arange(300, 0, -1) / 45150)) for _ in range(400)]
+    docs = spark.createDataFrame([(i if i != 50 else None, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    asked = docs.where("doc_id % 3 = 0 OR doc_id IS NULL")
+    one = sorted(map(tuple, bm25.search(docs, asked, k=6, shard_docs=60).collect()), key=str)
+    many = sorted(map(tuple, bm25.search(docs, asked, k=6, shard_docs=60, block_queries=20, round_bytes=0.5).collect()), key=str)
+    assert [r[:3] for r in one] == [r[:3] for r in many] and np.allclose([r[3] for r in one], [r[3] for r in many])
+    assert len(one) == 6 * asked.count()
+    terms = [np.unique(rng.integers(-(2**62), 2**62, 9)[rng.integers(0, 9, n)]) for n in (5, 1, 7)]
+    df = [np.arange(len(t), dtype=np.int64) for t in terms]
+    q, ids, back, n = bm25.unpack(bm25.pack([4, 5, 6], [9, None, -3], terms, df))
+    assert (q, ids) == ([4, 5, 6], [9, None, -3]) and all((a == b).all() for a, b in zip(terms + df, back + n))
+    pool = np.unique(rng.integers(0, 2**40, 3000))
+    held = [np.sort(rng.choice(pool, 200, replace=False)) for _ in range(500)]
+    block = bm25.pack(list(range(500)), list(range(500)), held, [x % 7 for x in held])
+    assert len(block) < 500 * 200 * 16 / 4  # terms and weights took 16 bytes each
+
+
+def test_bm25_common_terms_are_summed_together():
+    rng = np.random.default_rng(5)
+    shard = bm25.Shard(40.0, 1.2, 0.75, 16)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(50)], 40)) for _ in range(200)]
+    shard.add(bm25.pa.array(range(200)), bm25.pa.array(texts))
+    shard.build()
+    terms = bm25.term_counts(texts[0])[0]
+    weights = rng.random(len(terms))
+    assert len(shard.dense) == 50
+    alone, together = shard.top(terms, weights, 7), shard.top(terms, weights, 7, shard.common_sums([(terms, weights)])[0])
+    assert (alone[0] == together[0]).all() and np.allclose(alone[1], together[1])
